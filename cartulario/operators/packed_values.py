@@ -16,7 +16,7 @@ NORM_STARTS = (
 QUOTES = {'"': '"', "“": "”", "«": "»"}
 
 _BREAK = "\u001e"
-_BLANK = r"[\s   ​﻿]"
+_BLANK = r"[\s\u0085\u00a0\u2007\u202f\u200b\ufeff]"
 
 
 def _starts() -> str:
