@@ -51,17 +51,25 @@ def piece_pattern(unit: str, most: int) -> str:
     return "|".join([*strong, f"{body}{{1,{most}}}"])
 
 
-def overlap_pattern(unit: str, overlap: int) -> str:
-    """The tail of a piece that the next one repeats, beginning where a word begins if one does."""
+def tail_of(core: Column, unit: str, overlap: int) -> Column:
+    """The end of a core that the next piece repeats, beginning where a word begins if one does."""
     if overlap == 0:
-        return r"\z"
+        return F.lit("")
     if unit == "palabras":
-        return f"(?:[^{WORD_GAP}]++[{WORD_GAP}]*+){{1,{overlap}}}\\z"
-    return f"(?:(?<=[{WORD_GAP}])[^{WORD_GAP}][\\s\\S]{{0,{overlap - 1}}}\\z)|(?:[\\s\\S]{{1,{overlap}}}\\z)"
+        words = F.regexp_extract_all(core, F.lit(f"[^{WORD_GAP}]++[{WORD_GAP}]*+"), F.lit(0))
+        return let(words, lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - overlap + 1, F.lit(1)), F.lit(overlap)), ""))
+    last = F.right(core, F.lit(overlap))
+    whole = F.regexp_replace(F.right(core, F.lit(overlap + 1)), f"^[^{WORD_GAP}]*[{WORD_GAP}]+", "")
+    return F.when(last.rlike(f"[{WORD_GAP}][^{WORD_GAP}]"), F.right(whole, F.lit(overlap))).otherwise(last)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def split_pieces(text: Column, unit: str, most: int, overlap: int) -> Column:
-    """An array of structs (desde, hasta, solape, texto) that covers a text.
+    """An array of structs (piezas, desde, hasta, solape, texto) that covers a text.
 
     ``desde`` and ``hasta`` are code points from 0, ``solape`` tells how many code
     points at the start repeat the piece before. Matches of a bounded pattern
@@ -72,27 +80,32 @@ def split_pieces(text: Column, unit: str, most: int, overlap: int) -> Column:
     if not 0 <= overlap < most:
         raise ValueError("overlap must be at least 0 and less than the limit")
     cores = F.regexp_extract_all(text, F.lit(piece_pattern(unit, most - overlap)), F.lit(0))
-    tail = F.lit(overlap_pattern(unit, overlap))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(PIECES).alias("out"))
-
-    def step(state: Column, core: Column) -> Column:
-        end = (state["at"] + F.length(core)).cast("int")
-        back = state["before"]
-        piece = F.struct(
-            (state["at"] - F.length(back)).cast("int").alias("desde"),
-            end.alias("hasta"),
-            F.length(back).alias("solape"),
-            F.concat(back, core).alias("texto"),
-        )
-        next_back = F.regexp_substr(core, tail) if overlap else F.lit("")
-        return F.struct(
-            end.alias("at"), F.coalesce(next_back, F.lit("")).alias("before"), F.concat(state["out"], F.array(piece)).alias("out")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def add(state: Column, core: Column) -> Column:
+        return let(
+            (state["at"] + F.length(core)).cast("int"), lambda end: F.struct(end.alias("at"), F.concat(state["ends"], F.array(end)).alias("ends"))
         )
 
-    return F.aggregate(cores, zero, step, lambda s: s["out"])
+    def pieces(found: Column) -> Column:
+        def piece(core: Column, i: Column) -> Column:
+            back = F.when(i > 0, tail_of(F.get(found["cores"], i - 1), unit, overlap)).otherwise(F.lit(""))
+            end = F.get(found["ends"], i)
+            return let(
+                back,
+                lambda before: F.struct(
+                    F.size(found["cores"]).alias("piezas"),
+                    (end - F.length(core) - F.length(before)).cast("int").alias("desde"),
+                    end.alias("hasta"),
+                    F.length(before).alias("solape"),
+                    F.concat(before, core).alias("texto"),
+                ),
+            )
 
+        return F.transform(found["cores"], piece)
 
-PIECES = "array<struct<desde:int,hasta:int,solape:int,texto:string>>"
+    both = let(cores, lambda cs: F.struct(cs.alias("cores"), F.aggregate(cs, none, add, lambda s: s["ends"]).alias("ends")))
+    return let(both, pieces)
 
 
 def split_oversized(df: DataFrame, record: str, field: str, unit: str, most: int, overlap: int) -> DataFrame:
@@ -105,6 +118,5 @@ def split_oversized(df: DataFrame, record: str, field: str, unit: str, most: int
     slim = df.select(F.col(record).alias("id"), F.col(field).alias("__text"))
     large = slim.filter(unit_count(F.col("__text"), unit) > most)
     pieces = large.select("id", split_pieces(F.col("__text"), unit, most, overlap).alias("__pieces"))
-    return pieces.select("id", F.size("__pieces").alias("piezas"), F.posexplode("__pieces").alias("__at", "__piece")).select(
-        "id", (F.col("__at") + 1).alias("pieza"), "piezas", "__piece.*"
-    )
+    # The outer form adds no filter on the array, which would compute it twice; every large text has pieces.
+    return pieces.select("id", F.posexplode_outer("__pieces").alias("__at", "__piece")).select("id", (F.col("__at") + 1).alias("pieza"), "__piece.*")
