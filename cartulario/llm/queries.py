@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulario.llm.bpe import encode_texts
+from cartulario.llm.bpe import count_tokens, encode_texts
+from cartulario.llm.canonical import map_to_canonical
 from cartulario.llm.chunking import split_oversized
+from cartulario.llm.mixture import mix_sources, mixture_shares
+from cartulario.llm.neighbours import nearest, set_aside
 from cartulario.session import table
 
 
@@ -32,14 +35,78 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_trozos(spark, sf_dir).filter((F.col("pieza") == 1) & (F.col("piezas") > 1)).select("tabla", "campo", "id")
 
 
+def p3_vecinos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every usable vector."""
+    return nearest(table(spark, sf_dir, "articulos_vectorial"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least 0.70 of which one is among the five nearest of the other."""
+    near = nearest(table(spark, sf_dir, "articulos_vectorial"), least=0.70)
+    return near.select(F.least("id", "vecino").alias("id_a"), F.greatest("id", "vecino").alias("id_b")).distinct()
+
+
+def p3_apartados(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that cannot be compared, with the reason."""
+    return set_aside(table(spark, sf_dir, "articulos_vectorial"))
+
+
+def p4_valores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed court, room and subject with the entry it means and how many edits away it is."""
+    rulings = table(spark, sf_dir, "sentencias_judiciales")
+    return map_to_canonical(rulings, "id", ["tribunal", "sala", "materia"], table(spark, sf_dir, "catalogo_canonico"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed value with its entry or ``sin_clave``."""
+    return p4_valores(spark, sf_dir).select("id", "campo", "clave")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share."""
+    return p8_cuotas(spark, sf_dir).filter("limitada").select("source")
+
+
+def p8_cuotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    sizes = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return mixture_shares(sizes, "source", "tokens", table(spark, sf_dir, "mezcla_objetivos"))
+
+
+def p8_mezcla(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture itself: each use of a document with its turn."""
+    sizes = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return mix_sources(sizes, "doc_id", "source", "tokens", table(spark, sf_dir, "mezcla_objetivos"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla}
+
+_COMPARABLE = """
+        SELECT id, dimension, vector::DOUBLE[] AS v FROM articulos_vectorial
+        WHERE vector IS NOT NULL AND len(vector) = dimension AND len(vector) > 0
+          AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(vector, lambda x: x <> 0)) > 0"""
 
 SQL = {
+    "p3_found": f"""
+        WITH u AS ({_COMPARABLE}),
+        s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 9) AS s
+              FROM u a JOIN u b ON a.dimension = b.dimension AND a.id <> b.id),
+        r AS (SELECT x, y FROM s WHERE s >= 0.7
+              QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5)
+        SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r""",
+    "p3_apartados": """
+        SELECT id, CASE WHEN vector IS NULL THEN 'nulo'
+                        WHEN coalesce(len(vector) <> dimension, true) THEN 'dimension'
+                        WHEN len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'no_finito'
+                        ELSE 'cero' END AS motivo
+        FROM articulos_vectorial
+        WHERE id NOT IN (SELECT id FROM (""" + _COMPARABLE + """))""",
     "p1_found": """
         SELECT 'doctrina_instituciones' AS tabla, 'contenido' AS campo, id FROM doctrina_instituciones
         WHERE len(regexp_extract_all(contenido, '[^ \\t\\n\\r\\f]+')) >
