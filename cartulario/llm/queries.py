@@ -10,6 +10,7 @@ from cartulario.llm.canonical import map_to_canonical
 from cartulario.llm.chunking import split_oversized
 from cartulario.llm.mixture import mix_sources, mixture_shares
 from cartulario.llm.neighbours import nearest, set_aside
+from cartulario.llm.scans import repair_scans
 from cartulario.session import table
 
 
@@ -62,6 +63,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_valores(spark, sf_dir).select("id", "campo", "clave")
 
 
+def p6_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents and definitions of the institution cards as readable paragraphs."""
+    cards = table(spark, sf_dir, "doctrina_instituciones")
+    return repair_scans(cards, "id", ["contenido", "definicion"], ["obra", "autor"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of scan noise in each text."""
+    return p6_textos(spark, sf_dir).select("id", "campo", F.explode("tipos").alias("tipo"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their share."""
     return p8_cuotas(spark, sf_dir).filter("limitada").select("source")
@@ -84,7 +96,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla}
+QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p6_found": p6_found, "p6_textos": p6_textos, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla}
 
 _COMPARABLE = """
         SELECT id, dimension, vector::DOUBLE[] AS v FROM articulos_vectorial
