@@ -10,6 +10,7 @@ from cartulario.llm.canonical import map_to_canonical
 from cartulario.llm.chunking import split_oversized
 from cartulario.llm.mixture import mix_sources, mixture_shares
 from cartulario.llm.neighbours import nearest, set_aside
+from cartulario.llm.readability import reading_levels
 from cartulario.llm.scans import repair_scans
 from cartulario.session import table
 
@@ -96,7 +97,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p6_found": p6_found, "p6_textos": p6_textos, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla}
+def p9_niveles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difficulty and level of every Spanish prose text."""
+    return reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "niveles_muestra"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every Spanish prose text."""
+    return p9_niveles(spark, sf_dir).select("doc_id", "nivel")
+
+
+QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p6_found": p6_found, "p6_textos": p6_textos, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla, "p9_found": p9_found, "p9_niveles": p9_niveles}
 
 _COMPARABLE = """
         SELECT id, dimension, vector::DOUBLE[] AS v FROM articulos_vectorial
