@@ -81,57 +81,49 @@ def _bags(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Scale:
-    """Difficulty of the word nodes, and how raw values of texts become levels."""
+    """Shares of the levels at the word nodes, and how those of texts are evened out.
 
-    def __init__(self, mean: float) -> None:
-        self.value = np.zeros(BUCKETS)
+    A text's raw shares are the mean of those of its known words. Averages shrink toward
+    the middle, so a least-squares map, fitted on the graded texts, takes raw shares back
+    to whole ones; what a text is made of is then told apart from its mean.
+    """
+
+    def __init__(self, levels: list[int]) -> None:
+        self.levels = np.array(levels)
+        self.value = np.zeros((BUCKETS, len(levels)), np.float32)
         self.known = np.zeros(BUCKETS, bool)
-        self.mean, self.shift, self.slope = mean, 0.0, 1.0
-        self.levels: list[int] = []
-        self.bars: list[float] = []
+        self.map = np.eye(len(levels) + 1, len(levels))
 
     def raw(self, payloads: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Mean difficulty of the known words of each text; the mean grade where none is known."""
+        """Mean shares of the known words of each text; even shares where none is known."""
         rows, nodes, counts = bags = _bags(payloads)
         weight = counts * self.known[nodes]
         total = np.bincount(rows, weights=weight, minlength=len(payloads))
-        got = np.bincount(rows, weights=weight * self.value[nodes], minlength=len(payloads))
-        return np.where(total > 0, got / np.maximum(total, 1), self.mean), bags
+        got = np.stack([np.bincount(rows, weights=weight * self.value[nodes, k], minlength=len(payloads)) for k in range(len(self.levels))], 1)
+        return np.where(total[:, None] > 0, got / np.maximum(total, 1)[:, None], 1 / len(self.levels)), bags
 
     def even(self, raw: np.ndarray, grades: np.ndarray) -> None:
-        """Undo the shrinking of averages: the line that takes raw values of graded texts to their grades."""
-        spread = raw.var()
-        self.slope = float(((raw - raw.mean()) * (grades - grades.mean())).mean() / spread) if spread > 1e-12 else 1.0
-        self.shift = float(grades.mean() - self.slope * raw.mean())
-
-    def difficulty(self, raw: np.ndarray) -> np.ndarray:
-        return self.shift + self.slope * raw
-
-    def cut(self, difficulty: np.ndarray, grades: np.ndarray) -> None:
-        """Bars between neighbouring levels, each with the fewest graded texts on its wrong side."""
-        self.levels = sorted(set(grades.tolist()))
-        self.bars = []
-        order = np.argsort(difficulty, kind="stable")
-        d, g = difficulty[order], grades[order]
-        for level in self.levels[:-1]:
-            above = g > level
-            wrong = np.concatenate([[0], np.cumsum(above)]) + np.concatenate([np.cumsum(~above[::-1])[::-1], [0]])
-            best = np.flatnonzero(wrong == wrong.min())
-            at = int(best[len(best) // 2])
-            self.bars.append(float(d[0] - 1 if at == 0 else d[-1] + 1 if at == len(d) else (d[at - 1] + d[at]) / 2))
-
-    def level(self, difficulty: np.ndarray) -> np.ndarray:
-        return np.array(self.levels)[np.searchsorted(np.maximum.accumulate(self.bars), difficulty, side="right")]
+        """Fit the map on graded texts, each level weighing the same; a slight ridge keeps it defined for few of them."""
+        whole = (grades[:, None] == self.levels).astype(np.float64)
+        weight = (whole / np.maximum(whole.sum(0), 1)).sum(1)[:, None]
+        x = np.hstack([raw, np.ones((len(raw), 1))])
+        spread = max(float(raw.var(0).sum()), 1e-12)
+        self.map = np.linalg.solve(x.T @ (weight * x) + 1e-3 * spread * np.eye(x.shape[1]), x.T @ (weight * whole))
+
+    def shares(self, raw: np.ndarray) -> np.ndarray:
+        """Shares of the levels in texts, between 0 and 1, adding up to 1."""
+        got = np.clip(np.hstack([raw, np.ones((len(raw), 1))]) @ self.map, 1e-6, 1)
+        return got / got.sum(1, keepdims=True)
 
 
 def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, dificultad, nivel) of every Spanish prose text of at least ``LEAST_WORDS`` words.
 
     ``graded`` has ``doc_id`` and ``nivel``. Texts and word nodes form a bipartite graph.
-    Graded texts are clamped to their grade; a word takes the mean of the texts that use it,
-    a text the mean of its words, by turns over the whole corpus. Averages shrink toward the
-    middle, so each round ends with the line that fits graded texts best. At the end bars
-    between levels are set on the graded texts. Other texts (null, empty, short, other
+    Graded texts are clamped to their grade, as shares of the levels; a word takes the mean of
+    the texts that use it, a text the mean of its words, by turns over the whole corpus, and
+    each round ends with evening out (see ``Scale``). ``dificultad`` is the mean level by
+    shares, ``nivel`` the level with the largest share, the bulk of the text. Other texts (null, empty, short, other
     languages, listings) give no row; repeated rows repeat. Without any graded prose text both
     results are null. Graded rows with null values are not used; of several grades of a
     text the smallest counts. An empty table gives no rows.
@@ -163,49 +155,54 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
     found = bags.join(F.broadcast(clean), "doc_id").orderBy("doc_id").toArrow()
     if not found.num_rows:
         return bags.select("doc_id", F.lit(None).cast("double").alias("dificultad"), F.lit(None).cast("int").alias("nivel"))
-    own, grades = found["bolsa"].to_pylist(), found["nivel"].to_numpy().astype(np.float64)
-    scale = Scale(float(grades.mean()))
+    own, grades = found["bolsa"].to_pylist(), found["nivel"].to_numpy().astype(np.int64)
+    levels = sorted(set(grades.tolist()))
+    scale = Scale(levels)
+    k = len(levels)
+    clamps = (grades[:, None] == scale.levels).astype(np.float64)
     rows, nodes, counts = _bags(own)
     weight = np.bincount(nodes, weights=counts, minlength=BUCKETS)
     scale.known = weight > 0
-    scale.value = np.bincount(nodes, weights=counts * grades[rows], minlength=BUCKETS) / np.maximum(weight, 1)
+    for j in range(k):
+        scale.value[:, j] = np.bincount(nodes, weights=counts * clamps[rows, j], minlength=BUCKETS) / np.maximum(weight, 1)
     scale.even(scale.raw(own)[0], grades)
-    clamped = spark.sparkContext.broadcast(dict(zip(found["doc_id"].to_pylist(), grades.tolist())))
-    lowest, highest = float(grades.min()), float(grades.max())
+    clamped = spark.sparkContext.broadcast(dict(zip(found["doc_id"].to_pylist(), clamps)))
 
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(scale)
 
         def spread(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             now, fixed = sent.value, clamped.value
-            total, share = np.zeros(BUCKETS), np.zeros(BUCKETS)
+            total, sums = np.zeros(BUCKETS), np.zeros((BUCKETS, k))
             for batch in batches:
                 raw, (rows, nodes, counts) = now.raw(batch.column(1).to_pylist())
-                value = np.clip(now.difficulty(raw), lowest, highest)
+                share = now.shares(raw)
                 for i, doc in enumerate(batch.column(0).to_pylist()):
                     if doc in fixed:
-                        value[i] = fixed[doc]
+                        share[i] = fixed[doc]
                 total += np.bincount(nodes, weights=counts, minlength=BUCKETS)
-                share += np.bincount(nodes, weights=counts * value[rows], minlength=BUCKETS)
+                for j in range(k):
+                    sums[:, j] += np.bincount(nodes, weights=counts * share[rows, j], minlength=BUCKETS)
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.array(share[used])], ["nodo", "peso", "suma"])
+            columns = [pa.array(used), pa.array(total[used]), *[pa.array(sums[used, j]) for j in range(k)]]
+            yield pa.RecordBatch.from_arrays(columns, ["nodo", "peso", *[f"s{j}" for j in range(k)]])
 
-        sums = bags.mapInArrow(spread, "nodo long, peso double, suma double").groupBy("nodo").agg(F.sum("peso").alias("peso"), F.sum("suma").alias("suma")).toArrow()
+        parts = bags.mapInArrow(spread, "nodo long, peso double, " + ", ".join(f"s{j} double" for j in range(k)))
+        sums = parts.groupBy("nodo").agg(F.sum("peso").alias("peso"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
         at = sums["nodo"].to_numpy()
-        scale = Scale(float(grades.mean()))
+        scale = Scale(levels)
         scale.known[at] = True
-        # Sums of doubles depend on their order in the last bits only; rounding makes runs agree.
-        scale.value[at] = np.round(sums["suma"].to_numpy() / sums["peso"].to_numpy(), 9)
+        for j in range(k):
+            # Sums of doubles depend on their order in the last bits only; single precision makes runs agree.
+            scale.value[at, j] = sums[f"s{j}"].to_numpy() / sums["peso"].to_numpy()
         scale.even(scale.raw(own)[0], grades)
-    scale.cut(scale.difficulty(scale.raw(own)[0]), grades.astype(np.int64))
     last = spark.sparkContext.broadcast(scale)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = last.value
         for batch in batches:
-            value = now.difficulty(now.raw(batch.column(1).to_pylist())[0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.round(value, 6)), pa.array(now.level(value).astype(np.int32))], ["doc_id", "dificultad", "nivel"]
-            )
+            share = np.round(now.shares(now.raw(batch.column(1).to_pylist())[0]), 6)
+            level = now.levels[share.argmax(1)].astype(np.int32) if len(share) else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(share @ now.levels, 5)), pa.array(level)], ["doc_id", "dificultad", "nivel"])
 
     return bags.mapInArrow(judge, f"doc_id {kind}, dificultad double, nivel int")
