@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cartulario.plans import core_problems, scalar
+from cartulario.plans import core_problems, relational, scalar, search
 
-MODULES = (core_problems, scalar)
+MODULES = (core_problems, scalar, relational, search)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
