@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ ENGLISH = frozenset("the of that was and had by in to under its not a for with d
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def spanish_prose(text: str | None) -> list[str] | None:
-    """The words of a text in lower case if it is Spanish prose of at least ``LEAST_WORDS`` words, else None.
+def spanish_prose(text: str | None) -> Counter | None:
+    """The words of a text in lower case with their counts if it is Spanish prose of at least ``LEAST_WORDS`` words, else None.
 
     Prose: most of what stands between blanks is words, and small words hold their usual
     part of them; those of Spanish must outnumber those of Portuguese and English.
@@ -44,40 +45,34 @@ def spanish_prose(text: str | None) -> list[str] | None:
     blocks = len(text.split())
     if blocks < LEAST_WORDS:
         return None
-    words = _WORD.findall(text.lower())
-    if len(words) < 0.6 * blocks or len(words) < LEAST_WORDS // 2:
+    words = Counter(_WORD.findall(text.lower()))
+    total = words.total()
+    if total < 0.6 * blocks or total < LEAST_WORDS // 2:
         return None
-    es = pt = en = 0
-    for w in words:
-        if len(w) <= 6:
-            es += w in SPANISH
-            pt += w in PORTUGUESE
-            en += w in ENGLISH
-    return words if es >= 0.08 * len(words) and es > pt and es > en else None
+    es, pt, en = (sum(words[w] for w in small) for small in (SPANISH, PORTUGUESE, ENGLISH))
+    return words if es >= 0.08 * total and es > pt and es > en else None
 
 
-def _bag(words: list[str], nodes: dict[str, int]) -> bytes:
-    """Word nodes (gaps between sorted numbers) and counts of one text, compressed."""
-    for w in set(words) - nodes.keys():
-        nodes[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-    ids, counts = np.unique(np.fromiter(map(nodes.__getitem__, words), np.int64, len(words)), return_counts=True)
-    gaps = np.diff(ids, prepend=0).astype(np.uint32)
-    return zlib.compress(np.concatenate([gaps, counts.astype(np.uint32)]).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+#: Bits of a count in a packed entry; larger counts take several entries.
+COUNT_BITS = 32 - (BUCKETS - 1).bit_length()
+
+
+def _bag(words: Counter, nodes: dict[str, int]) -> bytes:
+    """Word nodes and counts of one text, one 32-bit number for each."""
+    for w in [w for w in words if w not in nodes]:
+        nodes[w] = (zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)) << COUNT_BITS
+    most = (1 << COUNT_BITS) - 1
+    packed = [nodes[w] + n if n <= most else -1 for w, n in words.items()]
+    if -1 in packed:
+        packed = [nodes[w] + min(most, n - at) for w, n in words.items() for at in range(0, n, most)]
+    return np.array(packed, np.uint32).tobytes()
 
 
 def _bags(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, node, count) of all words of some texts."""
-    rows, nodes, counts = [], [], []
-    for i, p in enumerate(payloads):
-        both = np.ascontiguousarray(np.frombuffer(zlib.decompress(p), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-        n = len(both) // 2
-        nodes.append(np.cumsum(both[:n]))
-        counts.append(both[n:])
-        rows.append(np.full(n, i))
-    if not rows:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    return np.concatenate(rows), np.concatenate(nodes), np.concatenate(counts)
+    packed = np.frombuffer(b"".join(payloads), np.uint32)
+    rows = np.repeat(np.arange(len(payloads)), np.array([len(p) // 4 for p in payloads], np.int64))
+    return rows, (packed >> COUNT_BITS).astype(np.int64), (packed & ((1 << COUNT_BITS) - 1)).astype(np.int64)
 
 
 class Scale:
