@@ -91,7 +91,7 @@ def seg_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CATALOGUE.query(
-    """WITH l AS (SELECT id, k, lineas[k] AS l FROM (SELECT id, lineas, unnest(range(1, len(lineas) + 1)) AS k FROM
+    r"""WITH l AS (SELECT id, k, lineas[k] AS l FROM (SELECT id, lineas, unnest(range(1, len(lineas) + 1)) AS k FROM
                  (SELECT id, string_split(replace(contenido, chr(13) || chr(10), chr(10)), chr(10)) AS lineas FROM doctrina_instituciones WHERE contenido IS NOT NULL))),
        m AS (SELECT *, count(*) OVER (PARTITION BY id, trim(l, ' ')) AS n FROM l)
        SELECT id, coalesce(string_agg(l, chr(10) ORDER BY k) FILTER (NOT (length(trim(l, ' ')) BETWEEN 6 AND 89 AND n >= 3) AND NOT regexp_matches(l, '^\s*\d{1,4}\s*$')), '') AS texto FROM m GROUP BY id"""
