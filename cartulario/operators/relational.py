@@ -134,9 +134,11 @@ def cooccurrence(df: DataFrame, key: str, member: str, most: int) -> DataFrame:
     """How many keys each pair of members (a < b) shares.
 
     Keys of up to ``most`` members are paired in one pass over their sorted members; larger
-    ones would give a quadratic number of pairs and raise an error, so nothing is dropped.
+    ones would give a quadratic number of pairs and raise an error, so nothing is dropped. Null keys and
+    members belong to nothing.
     """
-    sets = df.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("__m"))
+    known = df.filter(F.col(key).isNotNull() & F.col(member).isNotNull())
+    sets = known.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("__m"))
     checked = F.when(F.size("__m") <= most, F.col("__m")).otherwise(F.raise_error(F.lit(f"a key has more than {most} members")))
     rows = sets.select(checked.alias("__m")).select("__m", F.posexplode("__m").alias("__i", "a"))
     pairs = rows.select("a", F.explode(F.slice("__m", F.col("__i") + 2, F.lit(most))).alias("b"))

@@ -96,12 +96,12 @@ def dense_top(queries: DataFrame, base: DataFrame, record: str, vector: str, k:
 
     Queries and base meet in blocks: each base block finds the best ``k`` for every query
     of a query block by one matrix product, then the winners of all blocks are merged. Zero,
-    null and non-finite vectors, and those of another length than a query's, match nothing. A
+    null and non-finite vectors, those of null ids, and those of another length than a query's, match nothing. A
     query is no neighbour of itself. Ties go to the smaller id.
     """
 
     def sized(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(record).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND size(v) > 0")
+        rows = df.select(F.col(record).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
         parts = max(1, -(-rows.count() // block))
         return rows.select("id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias(name)), parts
 

@@ -73,7 +73,7 @@ def entity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOGUE.query(
     """SELECT lower(trim(col)) AS col, era, grouping(lower(trim(col))) AS sin_col, grouping(era) AS sin_era, count(*) AS entradas, CAST(sum(bytes) AS BIGINT) AS bytes
-       FROM entrada GROUP BY CUBE (lower(trim(col)), era)"""
+       FROM entrada GROUP BY CUBE (lower(trim(col)), era) HAVING count(*) > 0"""
 )
 def collection_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries and bytes by collection and era, with all subtotals."""
@@ -245,7 +245,7 @@ def exact_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def specific_over_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Norms cited by each entry, whole bodies only where no part of them is cited."""
     ref = table(spark, sf_dir, "referencia").filter("id LIKE 'norma:%'").select(F.col("n").alias("destino"), "id")
-    return ops.specific_over_generic(table(spark, sf_dir, "cita").join(ref, "destino").select("origen", "id"), "origen", "id")
+    return ops.specific_over_generic(table(spark, sf_dir, "cita").select("origen", "destino").join(ref, "destino").select("origen", "id"), "origen", "id")
 
 
 @CATALOGUE.query(
@@ -351,7 +351,8 @@ def chain_of_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well length alone tells demanding texts: micro precision and recall."""
-    p = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "niveles_muestra"), "doc_id").select((F.col("n_chars") > 2000).alias("l"), (F.col("nivel") >= 3).alias("d"))
+    levels = table(spark, sf_dir, "niveles_muestra").select("doc_id", "nivel")
+    p = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(levels, "doc_id").select((F.col("n_chars") > 2000).alias("l"), (F.col("nivel") >= 3).alias("d"))
     c = p.agg(F.count_if(F.col("l") & F.col("d")).alias("tp"), F.count_if(F.col("l") & ~F.col("d")).alias("fp"), F.count_if(~F.col("l") & F.col("d")).alias("fn"))
     return c.select("tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"))
 
