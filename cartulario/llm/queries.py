@@ -16,8 +16,9 @@ from cartulario.session import table
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> list:
-    """The two rows of limits: parameters of the plan."""
-    return table(spark, sf_dir, "limites_trozo").orderBy("tabla", "campo").collect()
+    """The two rows of limits: parameters of the plan; incomplete rows set no limit."""
+    names = ["tabla", "campo", "unidad", "maximo", "solape"]
+    return table(spark, sf_dir, "limites_trozo").select(*names).dropna().distinct().orderBy("tabla", "campo").collect()
 
 
 def p1_trozos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,8 @@ def p1_trozos(spark: SparkSession, sf_dir: str) -> DataFrame:
     for limit in _limits(spark, sf_dir):
         pieces = split_oversized(table(spark, sf_dir, limit.tabla), "id", limit.campo, limit.unidad, limit.maximo, limit.solape)
         parts.append(pieces.select(F.lit(limit.tabla).alias("tabla"), F.lit(limit.campo).alias("campo"), *pieces.columns))
+    if not parts:
+        return spark.createDataFrame([], "tabla string, campo string, id long, pieza int, piezas int, desde int, hasta int, solape int, texto string")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
