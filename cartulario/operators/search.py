@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulario.functions.text import fold, tokens
+from cartulario.session import spread
 
 K1, B = 1.2, 0.75
 
@@ -21,18 +22,15 @@ def postings(df: DataFrame, record: str, fields: dict[str, Column]) -> DataFrame
     return words.groupBy("doc", "campo", "termino").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def _hits(df: DataFrame, record: str, fields: dict[str, Column], terms: list[str]) -> DataFrame:
     """Per document: length of each field and frequency of each term in each, computed where the row is read."""
     cols = [F.col(record).alias("doc")]
-    slim = df.select(*cols, *[tokens(c).alias(f"__t_{n}") for n, c in fields.items()])
+    slim = spread(df.select(*cols, *[c.alias(f"__f_{n}") for n, c in fields.items()]))
+    slim = slim.select("doc", *[tokens(F.col(f"__f_{n}")).alias(f"__t_{n}") for n in fields])
     out = ["doc"]
     for n in fields:
         out.append(F.size(f"__t_{n}").alias(f"dl_{n}"))
-        out += [F.size(F.filter(f"__t_{n}", _equals(t))).alias(f"tf_{n}_{i}") for i, t in enumerate(terms)]
+        out += [(F.size(f"__t_{n}") - F.size(F.array_remove(f"__t_{n}", F.lit(t)))).alias(f"tf_{n}_{i}") for i, t in enumerate(terms)]
     return slim.select(*out)
 
 

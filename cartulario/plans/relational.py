@@ -214,16 +214,16 @@ def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CATALOGUE.query(
-    """WITH m AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS m FROM lineitem), n AS (SELECT k, count(*) AS n FROM m GROUP BY k),
-       p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM m x JOIN m y ON x.m = y.m AND x.k < y.k GROUP BY 1, 2 HAVING count(*) >= 2)
+    """WITH m AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS m FROM lineitem), n AS (SELECT k, count(*) AS n FROM m GROUP BY k HAVING count(*) >= 2),
+       p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM m x JOIN m y ON x.m = y.m AND x.k < y.k GROUP BY 1, 2)
        SELECT a, b, CAST(c AS INTEGER) AS comunes, round(c / (na.n + nb.n - c), 9) AS jaccard
-       FROM p JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE c / (na.n + nb.n - c) >= 0.6 - 1e-9 AND na.n >= 3 AND nb.n >= 3"""
+       FROM p JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE c / (na.n + nb.n - c) >= 0.4 - 1e-9"""
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of at least three suppliers whose suppliers agree for the most part."""
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("m")).distinct()
-    large = m.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3").select("k")
-    return ops.jaccard_pairs(m.join(large, "k", "left_semi"), "k", "m", 0.6).withColumn("jaccard", F.round("jaccard", 9))
+    """Orders of at least two parts that share a good part of them."""
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("m")).distinct()
+    large = m.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select("k")
+    return ops.jaccard_pairs(m.join(large, "k", "left_semi"), "k", "m", 0.4).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @CATALOGUE.query(

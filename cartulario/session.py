@@ -68,6 +68,16 @@ def materialize(df: DataFrame) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as the cluster runs at once, before work that is heavy by row.
+
+    Only a table of fewer scan tasks than that is moved; it is small for that reason, as a
+    scan task holds a bounded number of bytes.
+    """
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
+
+
 _SHIPPED: set[str] = set()
 
 
