@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulario.session import spread
+
 #: Where the public vocabularies lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -227,7 +229,7 @@ def encode_texts(df: DataFrame, record: str, text: str, folder: str = TOKENIZERS
 
     kind = df.schema[record].dataType.simpleString()
     slim = df.select(F.col(record).alias("doc_id"), F.col(text).alias("__text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return spread(slim).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -245,4 +247,4 @@ def count_tokens(df: DataFrame, keep: list[str], text: str, folder: str = TOKENI
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(sizes, pa.int64())], [*keep, "tokens"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, tokens long")
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, f"{kinds}, tokens long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulario.session import materialize
+from cartulario.session import materialize, spread
 
 #: Word nodes: words are hashed to so many, which bounds what is broadcast and what comes back.
 BUCKETS = 1 << 18
@@ -144,7 +144,7 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
     spark = df.sparkSession
     kind = df.schema[record].dataType.simpleString()
     slim = df.select(F.col(record).alias("doc_id"), F.col(text).alias("__text"))
-    bags = materialize(slim.mapInArrow(read, f"doc_id {kind}, bolsa binary"))
+    bags = materialize(spread(slim).mapInArrow(read, f"doc_id {kind}, bolsa binary"))
     clean = graded.select("doc_id", F.col("nivel").cast("int").alias("nivel")).filter(F.col("doc_id").isNotNull() & F.col("nivel").isNotNull())
     clean = clean.groupBy("doc_id").agg(F.min("nivel").alias("nivel")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_GRADED)
     found = bags.join(F.broadcast(clean), "doc_id").orderBy("doc_id").toArrow()
@@ -166,7 +166,7 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(scale)
 
-        def spread(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def add_up(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             now, fixed = sent.value, clamped.value
             total, sums = np.zeros(BUCKETS), np.zeros((BUCKETS, k))
             for batch in batches:
@@ -182,7 +182,7 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
             columns = [pa.array(used), pa.array(total[used]), *[pa.array(sums[used, j]) for j in range(k)]]
             yield pa.RecordBatch.from_arrays(columns, ["nodo", "peso", *[f"s{j}" for j in range(k)]])
 
-        parts = bags.mapInArrow(spread, "nodo long, peso double, " + ", ".join(f"s{j} double" for j in range(k)))
+        parts = bags.mapInArrow(add_up, "nodo long, peso double, " + ", ".join(f"s{j} double" for j in range(k)))
         sums = parts.groupBy("nodo").agg(F.sum("peso").alias("peso"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
         at = sums["nodo"].to_numpy()
         scale = Scale(levels)
