@@ -23,15 +23,23 @@ def postings(df: DataFrame, record: str, fields: dict[str, Column]) -> DataFrame
 
 
 def _hits(df: DataFrame, record: str, fields: dict[str, Column], terms: list[str]) -> DataFrame:
-    """Per document: length of each field and frequency of each term in each, computed where the row is read."""
-    cols = [F.col(record).alias("doc")]
-    slim = spread(df.select(*cols, *[c.alias(f"__f_{n}") for n, c in fields.items()]))
-    slim = slim.select("doc", *[tokens(F.col(f"__f_{n}")).alias(f"__t_{n}") for n in fields])
-    out = ["doc"]
-    for n in fields:
-        out.append(F.size(f"__t_{n}").alias(f"dl_{n}"))
-        out += [(F.size(f"__t_{n}") - F.size(F.array_remove(f"__t_{n}", F.lit(t)))).alias(f"tf_{n}_{i}") for i, t in enumerate(terms)]
-    return slim.select(*out)
+    """Per document: length of each field and frequency of each term in each, computed where the row is read.
+
+    The counts come out of a generator, through which later filters are not pushed: else a
+    text would be cut into tokens once for each of them.
+    """
+    slim = spread(df.select(F.col(record).alias("doc"), *[c.alias(f"__f_{n}") for n, c in fields.items()]))
+
+    def counted(x: Column) -> Column:
+        out = []
+        for n in fields:
+            size = F.size(x[n])
+            out.append(size.alias(f"dl_{n}"))
+            out += [(size - F.size(F.array_remove(x[n], F.lit(t)))).alias(f"tf_{n}_{i}") for i, t in enumerate(terms)]
+        return F.struct(*out)
+
+    cut = F.array(F.struct(*[tokens(F.col(f"__f_{n}")).alias(n) for n in fields]))
+    return slim.select("doc", F.inline_outer(F.transform(cut, counted)))
 
 
 def bm25(df: DataFrame, record: str, fields: dict[str, Column], weights: dict[str, float], terms: list[str], every: bool = False, inside: bool = True) -> DataFrame:
