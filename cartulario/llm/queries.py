@@ -42,7 +42,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_vecinos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar vectors of every usable vector."""
-    return nearest(table(spark, sf_dir, "articulos_vectorial"))
+    return nearest(table(spark, sf_dir, "articulos_vectorial"), per_cell=600)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
