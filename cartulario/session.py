@@ -72,8 +72,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many tasks as the cluster runs at once, before work that is heavy by row.
 
     Only a table of fewer scan tasks than that is moved; it is small for that reason, as a
-    scan task holds a bounded number of bytes.
+    scan task holds a bounded number of bytes. What comes out of a shuffle stays as it is:
+    counting its tasks would run it.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Repartition")):
+        return df
     wide = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
 
