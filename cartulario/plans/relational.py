@@ -226,6 +226,17 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.jaccard_pairs(m.join(large, "k", "left_semi"), "k", "m", 0.4).withColumn("jaccard", F.round("jaccard", 9))
 
 
+@CATALOGUE.query(
+    """WITH m AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS m FROM lineitem), n AS (SELECT k, count(*) AS n FROM m GROUP BY k),
+       p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM m x JOIN m y ON x.m = y.m AND x.k < y.k GROUP BY 1, 2)
+       SELECT a, b, CAST(c AS INTEGER) AS comunes, round(c / (na.n + nb.n - c), 9) AS jaccard
+       FROM p JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE c / (na.n + nb.n - c) >= 0.6 - 1e-9"""
+)
+def jaccard_supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, of one supplier and more, whose suppliers agree for the most part."""
+    return ops.jaccard_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", 0.6).withColumn("jaccard", F.round("jaccard", 9))
+
+
 @CATALOGUE.query(
     """WITH k AS (SELECT titulo, count(*) AS c, min(n) AS m FROM entrada WHERE titulo IS NOT NULL GROUP BY titulo)
        SELECT s.id AS fallo, s.caratula AS titulo, CASE WHEN coalesce(c, 0) = 1 THEN 'unico' WHEN coalesce(c, 0) > 1 THEN 'ambiguo' ELSE 'ausente' END AS estado,
