@@ -106,8 +106,8 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.distances(dimension_edges(spark, sf_dir), "r0", 4)
 
 
-def _rank_sql(rounds: int, restart: str) -> str:
-    steps = [f"""WITH {_EDGES}, l AS (SELECT src, dst, CAST(sum(peso) AS DOUBLE) AS p FROM e GROUP BY 1, 2), o AS (SELECT src, sum(p) AS s FROM l GROUP BY 1),
+def _rank_sql(rounds: int, restart: str, ways: str = "e") -> str:
+    steps = [f"""WITH {_EDGES}, l AS (SELECT src, dst, CAST(sum(peso) AS DOUBLE) AS p FROM {ways} GROUP BY 1, 2), o AS (SELECT src, sum(p) AS s FROM l GROUP BY 1),
         v AS (SELECT src AS nodo FROM l UNION SELECT dst FROM l), z AS (SELECT count(*) AS n FROM v), b AS (SELECT nodo, {restart} AS r FROM v, z), k0 AS (SELECT nodo, r AS x FROM b)"""]
     for i in range(rounds):
         steps.append(f"""m{i} AS (SELECT coalesce(sum(x), 0) AS loose FROM k{i} WHERE nodo NOT IN (SELECT src FROM o)),
@@ -124,11 +124,19 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOGUE.query(_rank_sql(4, "CASE WHEN nodo = 3 THEN 1.0::DOUBLE ELSE 0 END"))
 def personal_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from one norm, four rounds, over edges both ways."""
+    """The same from one norm, four rounds, over edges as they point: a norm cites nothing, so it keeps all."""
     restart = spark.createDataFrame([(3, 1.0)], "nodo long, parte double")
     return ops.pagerank(citation_edges(spark, sf_dir), 4, restart=restart).withColumn("puntaje", F.round("puntaje", 10))
 
 
+@CATALOGUE.query(_rank_sql(4, "CASE WHEN nodo = 3 THEN 1.0::DOUBLE ELSE 0 END", "(SELECT src, dst, peso FROM e UNION ALL SELECT dst, src, peso FROM e)"))
+def personal_pagerank_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one norm, four rounds, over edges both ways."""
+    restart = spark.createDataFrame([(3, 1.0)], "nodo long, parte double")
+    ways = ops.undirected(citation_edges(spark, sf_dir)).withColumnsRenamed({"a": "src", "b": "dst"})
+    return ops.pagerank(ways, 4, restart=restart).withColumn("puntaje", F.round("puntaje", 10))
+
+
 def _label_sql(rounds: int) -> str:
     steps = [f"WITH {_WAYS}, g0 AS (SELECT DISTINCT a AS nodo, a AS c FROM u)"]
     for i in range(rounds):

@@ -1,0 +1,14 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from cartulario.plans import registry
+
+
+def test_neighbours_of_the_restart_node_score(spark, tmp_path):
+    """Entries 10 and 11 cite norm 1 (node 3), entry 11 also norm 2 (node 5); entry 12 cites norm 3 (node 7) alone."""
+    rows = [(10, 1), (11, 1), (11, 2), (12, 3)]
+    t = pa.table({"origen": pa.array([a for a, _ in rows], pa.int64()), "destino": pa.array([b for _, b in rows], pa.int64()), "rel": ["normas"] * 4, "n": pa.array([1] * 4, pa.int64())})
+    pq.write_table(t, tmp_path / "cita.parquet")
+    got = {r.nodo: r.puntaje for r in registry.QUERIES["personal_pagerank_undirected"](spark, str(tmp_path)).collect()}
+    assert all(got[n] > 0 for n in (3, 20, 22, 5)) and got[24] == got[7] == 0
+    assert abs(sum(got.values()) - 1) < 1e-8
