@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cartulario.session import materialize
@@ -32,7 +32,9 @@ def mixture_shares(sizes: DataFrame, source: str, tokens: str, targets: DataFram
 
     Columns: source, peso, cuota (target share), max_repeticiones, tokens (of the
     source), total (T), aporte (tokens in the mixture), repeticiones (uses of the
-    whole source, a fraction), cuota_real, limitada (the target is out of reach).
+    whole source, a fraction), cuota_real, limitada (the target is out of reach). This
+    is the plan, budgets in place of documents: ``scheduled_shares`` has what the
+    mixture holds.
     Sources without documents count 0 tokens; documents of unlisted or null sources
     are left out; null sizes count 0. Targets with a null source or a null or
     non-positive weight are no targets; a source listed twice has its weights summed
@@ -116,13 +118,54 @@ def mix_sources(sizes: DataFrame, record: str, source: str, tokens: str, targets
     (one row per source) and one period of slots go to the driver. Documents of
     unlisted or null sources are left out, those of 0 tokens take no room but stay.
     """
-    flat = materialize(
+    flat = _flat(sizes, record, source, tokens)
+    return _mixed(flat, _planned(flat, targets), block, period).orderBy("turno", "source", "desde", "doc_id")
+
+
+def scheduled_shares(sizes: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """The columns of ``mixture_shares``, with what the scheduled mixture really holds, and mezclados (its tokens of the source).
+
+    cuota_real is the source's part of all tokens that ``mix_sources`` gives a turn, so a
+    document kept whole at the end of a small budget counts in full. A source is limitada
+    if the mixture holds all its permitted uses and they are less than its target.
+    """
+    flat = _flat(sizes, record, source, tokens)
+    shares = _planned(flat, targets)
+    spark = sizes.sparkSession
+    held = _mixed(flat, shares, block, period).filter("turno IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("mezclados"))
+    plan = spark.createDataFrame(shares, _PLANNED)
+    joined = plan.join(held, "source", "left").withColumn("mezclados", F.coalesce("mezclados", F.lit(0).cast("long")))
+    # The window holds one row per listed source, at most MOST_SOURCES.
+    given = F.sum("mezclados").over(Window.partitionBy())
+    used_up = F.col("mezclados") >= F.col("max_repeticiones") * F.col("tokens")
+    return joined.select(
+        "source", "peso", "cuota", "max_repeticiones", "tokens", "total", "aporte",
+        F.when(F.col("tokens") > 0, F.col("mezclados") / F.col("tokens")).otherwise(F.lit(0.0)).alias("repeticiones"),
+        F.when(given > 0, F.col("mezclados") / given).otherwise(F.lit(0.0)).alias("cuota_real"),
+        (used_up & (F.col("cuota") * F.col("total") > F.col("mezclados"))).alias("limitada"),
+        "mezclados",
+    )
+
+
+_PLANNED = "source string, peso double, cuota double, max_repeticiones long, tokens long, total long, aporte long, repeticiones double, cuota_real double, limitada boolean"
+
+
+def _flat(sizes: DataFrame, record: str, source: str, tokens: str) -> DataFrame:
+    return materialize(
         sizes.select(F.col(record).alias("doc_id"), folded(F.col(source)).alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
     )
+
+
+def _planned(flat: DataFrame, targets: DataFrame) -> list[Row]:
     shares = mixture_shares(flat, "source", "tokens", targets).limit(MOST_SOURCES + 1).collect()
     if len(shares) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} listed sources")
-    spark = sizes.sparkSession
+    return shares
+
+
+def _mixed(flat: DataFrame, shares: list[Row], block: int, period: int) -> DataFrame:
+    """The rows of ``mix_sources``, in no order."""
+    spark = flat.sparkSession
     slots = slots_of_period({r.source: float(r.aporte) for r in shares}, period)
     length = sum(map(len, slots.values()))
     plan = spark.createDataFrame(
@@ -145,4 +188,4 @@ def mix_sources(sizes: DataFrame, record: str, source: str, tokens: str, targets
     slot = F.floor(job / F.col("__quota")) * length + F.get("__slots", (job % F.col("__quota")).cast("int"))
     return used.select(
         slot.cast("long").alias("turno"), "source", "desde", (F.col("__use") + 1).alias("repeticion"), "doc_id", "tokens"
-    ).orderBy("turno", "source", "desde", "doc_id")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartulario.llm.bpe import count_tokens, encode_texts
 from cartulario.llm.canonical import map_to_canonical
 from cartulario.llm.chunking import split_oversized
-from cartulario.llm.mixture import mix_sources, mixture_shares
+from cartulario.llm.mixture import mix_sources, scheduled_shares
 from cartulario.llm.neighbours import nearest, set_aside
 from cartulario.llm.readability import reading_levels
 from cartulario.llm.scans import repair_scans
@@ -79,14 +79,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share."""
+    """Sources that cannot reach their share in the scheduled mixture."""
     return p8_cuotas(spark, sf_dir).filter("limitada").select("source")
 
 
 def p8_cuotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source."""
+    """Target share of each source and its actual share in the scheduled mixture."""
     sizes = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
-    return mixture_shares(sizes, "source", "tokens", table(spark, sf_dir, "mezcla_objetivos"))
+    return scheduled_shares(sizes, "doc_id", "source", "tokens", table(spark, sf_dir, "mezcla_objetivos"))
 
 
 def p8_mezcla(spark: SparkSession, sf_dir: str) -> DataFrame:

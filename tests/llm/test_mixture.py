@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import pytest
 
-from cartulario.llm.mixture import mix_sources, mixture_shares, slots_of_period
+from cartulario.llm.mixture import mix_sources, mixture_shares, scheduled_shares, slots_of_period
 
 
 def test_deviation_is_less_than_one_block():
@@ -61,3 +61,27 @@ def test_empty(spark):
     assert mix_sources(sizes.limit(0), "doc_id", "source", "tokens", goals).collect() == []
     assert mix_sources(sizes, "doc_id", "source", "tokens", goals.limit(0)).collect() == []
     assert {r.limitada for r in mixture_shares(sizes.limit(0), "source", "tokens", goals).collect()} == {False}
+
+
+def test_actual_shares_are_those_of_the_mixture(spark):
+    """A budget of 100 tokens reached inside a text of 5,000 gives the share of the whole text."""
+    docs = [(0, "larga", 5000)] + [(1 + i, "corta", 10) for i in range(500)]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame([("larga", 1.0, 1), ("corta", 99.0, 1), ("nada", 0.5, 2)], "source string, peso double, max_repeticiones int")
+    got = {r.source: r for r in scheduled_shares(sizes, "doc_id", "source", "tokens", goals).collect()}
+    held = defaultdict(int)
+    for r in mix_sources(sizes, "doc_id", "source", "tokens", goals).collect():
+        held[r.source] += r.tokens
+    assert {n: r.mezclados for n, r in got.items()} == {"larga": 5000, "corta": 5000, "nada": 0} == {**held, "nada": 0}
+    assert got["larga"].cuota_real == got["corta"].cuota_real == pytest.approx(0.5)
+    planned = {r.source: r.limitada for r in mixture_shares(sizes, "source", "tokens", goals).collect()}
+    assert {n: r.limitada for n, r in got.items()} == planned == {"larga": False, "corta": True, "nada": True}
+
+
+def test_scheduled_shares_of_tables(spark):
+    sizes, goals = tables(spark)
+    got = {r.source: r for r in scheduled_shares(sizes, "doc_id", "source", "tokens", goals).collect()}
+    assert {n: r.limitada for n, r in got.items()} == {"uno": False, "dos": True, "tres": True}
+    assert (got["uno"].mezclados, got["dos"].mezclados, got["tres"].mezclados) == (170, 140, 0)
+    assert {r.limitada for r in scheduled_shares(sizes.limit(0), "doc_id", "source", "tokens", goals).collect()} == {False}
+    assert scheduled_shares(sizes, "doc_id", "source", "tokens", goals.limit(0)).collect() == []
