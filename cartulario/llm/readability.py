@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,8 +18,11 @@ from cartulario.session import materialize, spread
 #: Word nodes: words are hashed to so many, which bounds what is broadcast and what comes back.
 BUCKETS = 1 << 18
 
-#: Harmonic rounds after the first spread from the graded texts.
-ROUNDS = 3
+#: Harmonic rounds after the first spread from the graded texts go on until no share at a word node moves by as much.
+TOLERANCE = 1e-3
+
+#: Rounds after which what still moves is told in a warning.
+MOST_ROUNDS = 200
 
 #: Graded texts that are clamped at most (those of smallest hash).
 MOST_GRADED = 20_000
@@ -111,7 +115,7 @@ class Scale:
         return got / got.sum(1, keepdims=True)
 
 
-def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
     """Rows (doc_id, dificultad, nivel) of every Spanish prose text of at least ``LEAST_WORDS`` words.
 
     ``graded`` has ``doc_id`` and ``nivel``. Texts and word nodes form a bipartite graph.
@@ -123,6 +127,9 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
     results are null. Graded rows with null values are not used; of several grades of a
     text the smallest counts. An empty table gives no rows.
 
+    Rounds go on until no share at a word node moves by ``tolerance``; after ``most`` of them a
+    warning tells what still moves.
+
     A round sends one number pair per word node from each task, added up by node; only the
     nodes, bounded by ``BUCKETS``, and the bags of graded texts, bounded by ``MOST_GRADED``,
     reach the driver.
@@ -163,7 +170,7 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
     scale.even(scale.raw(own)[0], grades)
     clamped = spark.sparkContext.broadcast(dict(zip(found["doc_id"].to_pylist(), clamps)))
 
-    for _ in range(rounds):
+    for turn in range(1, most + 1):
         sent = spark.sparkContext.broadcast(scale)
 
         def add_up(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -185,12 +192,18 @@ def reading_levels(df: DataFrame, record: str, text: str, graded: DataFrame, rou
         parts = bags.mapInArrow(add_up, "nodo long, peso double, " + ", ".join(f"s{j} double" for j in range(k)))
         sums = parts.groupBy("nodo").agg(F.sum("peso").alias("peso"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
         at = sums["nodo"].to_numpy()
-        scale = Scale(levels)
+        before, scale = scale.value, Scale(levels)
         scale.known[at] = True
         for j in range(k):
             # Sums of doubles depend on their order in the last bits only; single precision makes runs agree.
             scale.value[at, j] = sums[f"s{j}"].to_numpy() / sums["peso"].to_numpy()
         scale.even(scale.raw(own)[0], grades)
+        sent.unpersist()
+        moved = float(np.abs(scale.value - before).max())
+        if moved < tolerance:
+            break
+        if turn == most:
+            warnings.warn(f"word nodes still move by {moved:.6f} after {most} rounds", stacklevel=2)
     last = spark.sparkContext.broadcast(scale)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

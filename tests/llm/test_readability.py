@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartulario.llm.readability import LEAST_WORDS, reading_levels, spanish_prose
@@ -61,3 +62,27 @@ def test_nothing_graded_and_empty(spark):
 def test_prose():
     assert spanish_prose("el la de " * (LEAST_WORDS // 3)) is not None and spanish_prose("el la de " * (LEAST_WORDS // 3 - 1)) is None
     assert spanish_prose(None) is None and spanish_prose("9" * 5000) is None
+
+
+def chain(spark):
+    """Texts of which each shares half of its own words with the next; only the two ends are graded."""
+    rng = random.Random(3)
+    name = lambda i: "".join("aeioubcdfg"[int(c)] for c in f"{i:03d}") + "ez"
+    rows = []
+    for i in range(9):
+        own = [name(10 * i + j) for j in range(20)]
+        rows.append((i, " ".join(rng.choice(SMALL) if n % 2 else own[n // 2 % 20] for n in range(160))))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (8, 2)], "doc_id long, nivel int")
+
+
+def test_rounds_go_on_until_nothing_moves(spark):
+    docs, graded = chain(spark)
+    got = {r.doc_id: r.dificultad for r in reading_levels(docs, "doc_id", "text", graded).collect()}
+    still = {r.doc_id: r.dificultad for r in reading_levels(docs, "doc_id", "text", graded, 1e-6).collect()}
+    assert len(got) == 9 and max(abs(got[i] - still[i]) for i in got) < 0.02
+
+
+def test_what_still_moves_is_told(spark):
+    docs, graded = chain(spark)
+    with pytest.warns(UserWarning, match="still move by"):
+        reading_levels(docs, "doc_id", "text", graded, most=1).collect()
