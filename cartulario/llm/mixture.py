@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from cartulario.session import materialize
 
-#: Tokens in a block, the unit of scheduling.
+#: Tokens in a block, the unit of scheduling, and slots that a schedule has at most: longer mixtures get larger blocks.
 BLOCK = 4096
-
-#: Slots in a period of the schedule; weights are kept to one part in so many.
-PERIOD = 8192
+MOST_SLOTS = 1 << 20
 
 #: Documents of one source are numbered in so many parts at once.
 BUCKETS = 1024
@@ -64,50 +62,50 @@ def _goals(targets: DataFrame) -> DataFrame:
     return clean.groupBy("source").agg(F.sum("peso").alias("peso"), F.max("max_repeticiones").alias("max_repeticiones"))
 
 
-def slots_of_period(weights: dict[str, float], period: int = PERIOD) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period, by earliest deadline first.
+def block_size(total: int, block: int | None = None, most: int = MOST_SLOTS) -> int:
+    """Tokens of a block: the given number, else ``BLOCK``, or what cuts ``total`` into ``most`` slots if that is more."""
+    return block or max(BLOCK, -(-total // most))
+
+
+def schedule(budgets: dict[str, int], block: int) -> dict[str, list[int]]:
+    """For each source the slots of its blocks over the whole mixture, by earliest deadline first.
 
-    Weights are rounded to whole blocks of the period, by largest remainder, at least
-    one each. Block i of q is released at floor(i * period / q) and due at
-    ceil((i + 1) * period / q); as the blocks fill the period exactly, every block
-    is placed in its window, so each source is always less than one block away from
-    its share.
+    A source of ``a`` out of ``T`` tokens has the weight a / T, kept as a fraction of whole
+    numbers: its block i is released at floor(i * T / a) and due at ceil((i + 1) * T / a), in
+    slots of one block each. The weights add up to one, so every block is placed within its
+    window and each source stays less than one block from its share at every slot, however long
+    the mixture is: nothing is rounded and nothing repeats. The last block of a source may be a
+    part of one; where no block is released, the slot passes.
     """
-    names = sorted(n for n, w in weights.items() if w > 0)
-    if not names:
-        return {}
-    period = max(period, 2 * len(names))
-    total = sum(weights[n] for n in names)
-    exact = {n: weights[n] / total * period for n in names}
-    quota = {n: max(1, int(exact[n])) for n in names}
-    while (left := period - sum(quota.values())) != 0:
-        sign = 1 if left > 0 else -1
-        order = sorted((n for n in names if sign > 0 or quota[n] > 1), key=lambda n: (-sign * (exact[n] - quota[n]), n))
-        for n in order[: abs(left)]:
-            quota[n] += sign
+    names = sorted(n for n, a in budgets.items() if a > 0)
+    total = sum(budgets[n] for n in names)
+    left = {n: -(-budgets[n] // block) for n in names}
     slots: dict[str, list[int]] = {n: [] for n in names}
     coming = [(0, n) for n in names]
     heapq.heapify(coming)
     ready: list[tuple[int, str]] = []
-    for slot in range(period):
+    slot = 0
+    while coming or ready:
         while coming and coming[0][0] <= slot:
             _, n = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(len(slots[n]) + 1) * period // quota[n]), n))
-        due, n = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        slots[n].append(slot)
-        if len(slots[n]) < quota[n]:
-            heapq.heappush(coming, (len(slots[n]) * period // quota[n], n))
+            heapq.heappush(ready, (-(-(len(slots[n]) + 1) * total // budgets[n]), n))
+        if ready:
+            due, n = heapq.heappop(ready)
+            if due <= slot:
+                raise AssertionError("a block missed its deadline")
+            slots[n].append(slot)
+            if len(slots[n]) < left[n]:
+                heapq.heappush(coming, (len(slots[n]) * total // budgets[n], n))
+        slot += 1
     return slots
 
 
-def mix_sources(sizes: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix_sources(sizes: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, block: int | None = None) -> DataFrame:
     """Each use of a document in the mixture: turno, source, desde, repeticion, doc_id, tokens.
 
     ``desde`` is where its tokens begin in the source's part of the mixture; a block of
-    ``block`` tokens of a source is one job, and ``turno`` is the slot of the job that
-    the document begins in. Read by (turno, source, desde), the mixture keeps each
+    ``block`` tokens of a source (see ``block_size``) is one job, and ``turno`` is the slot
+    of the job that the document begins in. Read by (turno, source, desde), the mixture keeps each
     source less than one block from its share (documents are not cut, so one that
     crosses a block's end stays whole). The order within a source is by a hash of the
     id. A source is used ``repeticion`` times over, the last time in part; the use that
@@ -115,14 +113,14 @@ def mix_sources(sizes: DataFrame, record: str, source: str, tokens: str, targets
 
     The running sum is taken in buckets: sums per bucket first, then positions within
     each, so a source with a third of all documents is no single task. Only the shares
-    (one row per source) and one period of slots go to the driver. Documents of
+    (one row per source) and at most ``MOST_SLOTS`` slots, and one more a source, are on the driver. Documents of
     unlisted or null sources are left out, those of 0 tokens take no room but stay.
     """
     flat = _flat(sizes, record, source, tokens)
-    return _mixed(flat, _planned(flat, targets), block, period).orderBy("turno", "source", "desde", "doc_id")
+    return _mixed(flat, _planned(flat, targets), block).orderBy("turno", "source", "desde", "doc_id")
 
 
-def scheduled_shares(sizes: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def scheduled_shares(sizes: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, block: int | None = None) -> DataFrame:
     """The columns of ``mixture_shares``, with what the scheduled mixture really holds, and mezclados (its tokens of the source).
 
     cuota_real is the source's part of all tokens that ``mix_sources`` gives a turn, so a
@@ -132,7 +130,7 @@ def scheduled_shares(sizes: DataFrame, record: str, source: str, tokens: str, ta
     flat = _flat(sizes, record, source, tokens)
     shares = _planned(flat, targets)
     spark = sizes.sparkSession
-    held = _mixed(flat, shares, block, period).filter("turno IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("mezclados"))
+    held = _mixed(flat, shares, block).filter("turno IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("mezclados"))
     plan = spark.createDataFrame(shares, _PLANNED)
     joined = plan.join(held, "source", "left").withColumn("mezclados", F.coalesce("mezclados", F.lit(0).cast("long")))
     # The window holds one row per listed source, at most MOST_SOURCES.
@@ -163,14 +161,14 @@ def _planned(flat: DataFrame, targets: DataFrame) -> list[Row]:
     return shares
 
 
-def _mixed(flat: DataFrame, shares: list[Row], block: int, period: int) -> DataFrame:
+def _mixed(flat: DataFrame, shares: list[Row], block: int | None) -> DataFrame:
     """The rows of ``mix_sources``, in no order."""
     spark = flat.sparkSession
-    slots = slots_of_period({r.source: float(r.aporte) for r in shares}, period)
-    length = sum(map(len, slots.values()))
+    budgets = {r.source: r.aporte for r in shares}
+    block = block_size(sum(budgets.values()), block)
+    slots = schedule(budgets, block)
     plan = spark.createDataFrame(
-        [(r.source, r.tokens, r.aporte, len(slots[r.source]), slots[r.source]) for r in shares if r.source in slots],
-        "source string, __all long, __budget long, __quota int, __slots array<int>",
+        [(r.source, r.tokens, r.aporte, slots[r.source]) for r in shares if r.source in slots], "source string, __all long, __budget long, __slots array<int>"
     )
     ranked = flat.withColumn("__order", F.xxhash64("doc_id")).withColumn("__bucket", F.pmod("__order", F.lit(BUCKETS)))
     ranked = ranked.join(F.broadcast(plan.select("source")), "source", "left_semi")
@@ -185,7 +183,7 @@ def _mixed(flat: DataFrame, shares: list[Row], block: int, period: int) -> DataF
     start = F.col("__use") * F.col("__all") + F.col("__offset") + F.col("__in")
     used = used.withColumn("desde", start).filter(F.col("desde") < F.col("__budget"))
     job = F.floor(F.col("desde") / block)
-    slot = F.floor(job / F.col("__quota")) * length + F.get("__slots", (job % F.col("__quota")).cast("int"))
+    slot = F.get("__slots", job.cast("int"))
     return used.select(
         slot.cast("long").alias("turno"), "source", "desde", (F.col("__use") + 1).alias("repeticion"), "doc_id", "tokens"
     )

@@ -2,19 +2,39 @@ from collections import defaultdict
 
 import pytest
 
-from cartulario.llm.mixture import mix_sources, mixture_shares, scheduled_shares, slots_of_period
+from cartulario.llm.mixture import block_size, mix_sources, mixture_shares, schedule, scheduled_shares
+
+
+@pytest.mark.parametrize(
+    "budgets,block",
+    [
+        ({"a": 22, "b": 14, "c": 1, "d": 50, "e": 0}, 1),
+        ({"a": 220_000, "b": 145_003, "c": 40, "d": 500_001}, 64),
+        ({f"s{i}": 1 + i * i * 37 for i in range(40)}, 100),
+        ({"grande": 1_000_000, "chica": 1}, 128),
+        ({n: p * 100_003 for n, p in zip("abcdefghij", (22, 14, 13, 11, 10, 9, 8, 6, 4, 3))}, 512),
+    ],
+)
+def test_less_than_one_block_from_the_true_share(budgets, block):
+    """Against the weights as given, at every slot, over thousands of rounds."""
+    slots = schedule(budgets, block)
+    assert set(slots) == {n for n, a in budgets.items() if a}
+    taken = sorted(s for x in slots.values() for s in x)
+    assert len(set(taken)) == len(taken) == sum(-(-a // block) for a in budgets.values())
+    total, last = sum(budgets.values()), sum(budgets.values()) // block
+    for name, own in slots.items():
+        assert own == sorted(own)
+        before = 0
+        for i, slot in enumerate(own[: last + 1]):
+            # Just before and just after each block, where the deviation is largest.
+            assert i * total - slot * budgets[name] > -total or i * block >= budgets[name]
+            assert (i + 1) * total - (slot + 1) * budgets[name] < total
+            assert slot >= before
+            before = slot + 1
 
 
-def test_deviation_is_less_than_one_block():
-    weights = {"a": 22.0, "b": 14.5, "c": 0.4, "d": 50.0, "e": 0.0}
-    slots = slots_of_period(weights, 1000)
-    assert sorted(s for x in slots.values() for s in x) == list(range(1000)) and "e" not in slots
-    owner = {s: n for n, x in slots.items() for s in x}
-    for name, own in slots.items():
-        share, count = len(own) / 1000, 0
-        for t in range(1000):
-            count += owner[t] == name
-            assert abs(count - share * (t + 1)) < 1
+def test_long_mixtures_get_larger_blocks():
+    assert block_size(10**6) == 4096 and block_size(10**13) == -(-(10**13) // (1 << 20)) and block_size(10**13, 7) == 7
 
 
 def tables(spark):
@@ -37,7 +57,7 @@ def test_shares(spark):
 
 def test_mixture(spark):
     sizes, goals = tables(spark)
-    rows = mix_sources(sizes, "doc_id", "source", "tokens", goals, block=20, period=31).collect()
+    rows = mix_sources(sizes, "doc_id", "source", "tokens", goals, block=20).collect()
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
@@ -52,8 +72,24 @@ def test_mixture(spark):
         assert max(r.repeticion for r in own) <= {"uno": 1, "dos": 2}[name]
         turns = [r.turno for r in own]
         assert turns == sorted(turns)
-    slots = slots_of_period({"uno": 170.0, "dos": 140.0}, 31)
-    assert {r.turno for r in by["dos"]} <= {s + p * 31 for s in slots["dos"] for p in range(3)}
+    slots = schedule({"uno": 170, "dos": 140}, 20)
+    assert {r.turno for r in by["dos"]} <= set(slots["dos"]) and {r.turno for r in by["uno"]} <= set(slots["uno"])
+
+
+def test_emitted_documents_stay_near_their_shares(spark):
+    """At every prefix of the mixture each source is less than a block and a document from its share."""
+    docs = [(i, f"s{i % 7}", 1 + (i * 7919) % 60) for i in range(20_000)]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame([(f"s{i}", 1.0 + i, 3) for i in range(7)], "source string, peso double, max_repeticiones int")
+    rows = mix_sources(sizes, "doc_id", "source", "tokens", goals, block=256).collect()
+    budgets = {r.source: r.aporte for r in mixture_shares(sizes, "source", "tokens", goals).collect()}
+    total, at, held = sum(budgets.values()), 0, defaultdict(int)
+    assert rows == sorted(rows, key=lambda r: (r.turno, r.source, r.desde, r.doc_id)) and total > 600 * 256
+    for r in rows[: int(len(rows) * 0.98)]:
+        held[r.source] += r.tokens
+        at += r.tokens
+        # The documents of all sources may be as far from whole blocks as those of one.
+        assert all(abs(held[s] - at * a / total) < 256 + 60 * 2 for s, a in budgets.items())
 
 
 def test_empty(spark):
