@@ -31,24 +31,42 @@ def _endings() -> list[str]:
     ]
 
 
+#: Units of a block, the step by which the counts of a pattern grow: the matcher recurses once for each block at most.
+BASE = 64
+
+
+def _counted(unit: str, most: int, end: str) -> str:
+    """``most`` units or fewer, the most first, and then ``end``: counts are written in blocks of ``BASE``, so that no run recurses by unit."""
+    level = 0
+    while BASE ** (level + 1) <= most:
+        level += 1
+    if level == 0:
+        return f"{unit}{{0,{most}}}{end}"
+    size = BASE**level
+    whole, rest = divmod(most, size)
+    lower = "".join(f"(?>{unit}{{{BASE**k}}}){{0,{BASE - 1}}}" for k in range(level - 1, 0, -1)) + f"{unit}{{0,{BASE - 1}}}{end}"
+    return f"(?:(?>{unit}{{{whole * size}}}){_counted(unit, rest, end)}|(?>{unit}{{{size}}}){{0,{whole - 1}}}{lower})"
+
+
 def piece_pattern(unit: str, most: int) -> str:
     """A pattern whose successive matches partition a text into pieces of at most ``most`` units.
 
     Each alternative consumes up to the limit and ends at one kind of boundary; the
     strong ones must fill at least half of the limit, so that a boundary near the
     start makes no tiny piece. The last alternative takes characters as they come.
+    An exact count runs in a loop, and counts that may be given back are written in blocks,
+    so the depth of the matcher grows with the logarithm of the limit.
     """
     least = max(1, most // 2)
     if unit == "caracteres":
         body = "[\\s\\S]"
     elif unit == "palabras":
-        # The gaps before the first word belong to it; possessive runs keep backtracking to whole words.
-        body = f"[{WORD_GAP}]*+[^{WORD_GAP}]++[{WORD_GAP}]*+"
-        body = f"(?:{body})"
+        # The gaps before the first word belong to it; a word is never given back in part.
+        body = f"(?>[{WORD_GAP}]*+[^{WORD_GAP}]++[{WORD_GAP}]*+)"
     else:
         raise ValueError(f"unit must be one of {UNITS}")
-    strong = [f"{body}{{{least},{most}}}{end}" for end in _endings()]
-    return "|".join([*strong, f"{body}{{1,{most}}}"])
+    strong = [f"{body}{{{least}}}{_counted(body, most - least, end)}" for end in _endings()]
+    return "|".join([*strong, f"{body}{_counted(body, most - 1, '')}"])
 
 
 def tail_of(core: Column, unit: str, overlap: int) -> Column:
@@ -80,12 +98,6 @@ def split_pieces(text: Column, unit: str, most: int, overlap: int) -> Column:
     if not 0 <= overlap < most:
         raise ValueError("overlap must be at least 0 and less than the limit")
     cores = F.regexp_extract_all(text, F.lit(piece_pattern(unit, most - overlap)), F.lit(0))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-
-    def add(state: Column, core: Column) -> Column:
-        return let(
-            (state["at"] + F.length(core)).cast("int"), lambda end: F.struct(end.alias("at"), F.concat(state["ends"], F.array(end)).alias("ends"))
-        )
 
     def pieces(found: Column) -> Column:
         def piece(core: Column, i: Column) -> Column:
@@ -104,10 +116,32 @@ def split_pieces(text: Column, unit: str, most: int, overlap: int) -> Column:
 
         return F.transform(found["cores"], piece)
 
-    both = let(cores, lambda cs: F.struct(cs.alias("cores"), F.aggregate(cs, none, add, lambda s: s["ends"]).alias("ends")))
+    both = let(cores, lambda cs: F.struct(cs.alias("cores"), running_sums(F.transform(cs, F.length)).alias("ends")))
     return let(both, pieces)
 
 
+def running_sums(sizes: Column) -> Column:
+    """Sums of an array of integers up to each place: by stretches of about the root of its length, so no long array is copied at each step."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def add(state: Column, size: Column) -> Column:
+        return let((state["at"] + size).cast("int"), lambda end: F.struct(end.alias("at"), F.concat(state["ends"], F.array(end)).alias("ends")))
+
+    def summed(values: Column) -> Column:
+        return F.aggregate(values, none, add, lambda s: s["ends"])
+
+    def by_stretch(width: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), width), lambda at: at <= F.size(sizes))
+        inner = F.transform(starts, lambda at: summed(F.slice(sizes, at, width)))
+        before = lambda parts: summed(F.transform(parts, lambda p: F.element_at(p, -1)))
+        moved = lambda parts: let(
+            before(parts), lambda sums: F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.when(i > 0, F.get(sums, i - 1)).otherwise(F.lit(0))))
+        )
+        return F.flatten(let(inner, moved))
+
+    return let(F.ceil(F.sqrt(F.greatest(F.size(sizes), F.lit(1)))).cast("int"), by_stretch)
+
+
 def split_oversized(df: DataFrame, record: str, field: str, unit: str, most: int, overlap: int) -> DataFrame:
     """Pieces (id, pieza, piezas, desde, hasta, solape, texto) of every text larger than ``most``.
 

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cartulario.llm.chunking import split_oversized, unit_count
+from cartulario.llm.chunking import _counted, split_oversized, unit_count
 
 GAP = re.compile(r"[^ \t\n\r\f]+")
 TEXTS = [
@@ -60,3 +60,34 @@ def test_counts_and_empty(spark):
     assert split_oversized(empty, "id", "t", "palabras", 10, 2).collect() == []
     with pytest.raises(ValueError):
         split_oversized(empty, "id", "t", "palabras", 10, 10)
+
+
+@pytest.mark.parametrize("unit,most,overlap", [("palabras", 2000, 100), ("palabras", 100_000, 500), ("caracteres", 100_000, 1000)])
+def test_large_limits(spark, unit, most, overlap):
+    """Limits far over those of the tables: the depth of the matcher must not grow with them."""
+    words = [f"palabra{i % 977}" + (".\n\n" if i % 5000 == 4999 else " ") for i in range(250_000)]
+    texts = ["".join(words), "ñ😀" * 150_000, "x " * 210_000]
+    rows = split_oversized(spark.createDataFrame(list(enumerate(texts)), "id long, texto string"), "id", "texto", unit, most, overlap).collect()
+    assert {r.id for r in rows} == {i for i, t in enumerate(texts) if size(t, unit) > most}
+    for i, text in enumerate(texts):
+        pieces = sorted((r for r in rows if r.id == i), key=lambda r: r.pieza)
+        assert "".join(p.texto[p.solape :] for p in pieces) == (text if pieces else "")
+        assert all(0 < size(p.texto, unit) <= most and text[p.desde : p.hasta] == p.texto for p in pieces)
+    if unit == "palabras" and most > 5000:
+        assert all(p.texto.endswith("\n\n") for p in rows if p.id == 0 and p.pieza < p.piezas)
+
+
+def test_twenty_megabytes_in_one_text(spark):
+    text = "Considerando lo expuesto por la parte. " * 520_000
+    got = split_oversized(spark.createDataFrame([(1, text)], "id long, texto string"), "id", "texto", "palabras", 400, 40)
+    sums = got.selectExpr("count(*) n", "max(piezas) p", "sum(length(texto) - solape) c", "max(hasta) h").first()
+    assert sums.n == sums.p > 7_000 and sums.c == sums.h == len(text)
+
+
+def test_counts_in_descending_order():
+    """The counted pattern tries every number of units once, the largest first."""
+    for most in (0, 1, 63, 64, 65, 128, 130, 4095, 4096, 4100, 5000):
+        pattern = re.compile(_counted("(?>a)", most, "b"))
+        for n in {0, 1, 62, 63, 64, 65, 127, 128, 129, 4094, 4096, 4099, most}:
+            found = pattern.match("a" * n + "b")
+            assert (found is not None) == (n <= most)
