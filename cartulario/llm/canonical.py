@@ -149,6 +149,7 @@ def trimmed_readings(value: str) -> list[str]:
     return [t for t in dict.fromkeys(out) if t]
 
 
+@lru_cache(maxsize=200_000)
 def _near(a: str, b: str) -> bool:
     most = 0 if len(b) < 5 else 2 if len(b) < 7 else 3
     return a == b or (abs(len(a) - len(b)) <= most and plain_distance(a, b) <= most)
@@ -165,7 +166,15 @@ def plain_distance(a: str, b: str) -> int:
 
 
 def swap_distance(a: str, b: str) -> int:
-    """Edits with adjacent swaps counted once: for ranking candidates, not for the tree."""
+    """Edits with adjacent swaps counted once: for ranking candidates, not for the tree. Equal ends change nothing and are cut off."""
+    n = min(len(a), len(b))
+    at = 0
+    while at < n and a[at] == b[at]:
+        at += 1
+    end = 0
+    while end < n - at and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[at : len(a) - end], b[at : len(b) - end]
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -178,6 +187,27 @@ def swap_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+#: Ways to shorten the words of one name that are written out; of a name with more, typed short words are written long instead.
+MOST_WAYS = 64
+_LONG_OF = {short: long for long, shorts in SHORT.items() for short in shorts if short != long}
+
+
+def _ways(text: str) -> list[tuple[str, ...]]:
+    return [SHORT.get(w, (w,)) for w in text.split()]
+
+
+def _many_ways(text: str) -> bool:
+    count = 1
+    for options in _ways(text):
+        count *= len(options)
+    return count > MOST_WAYS
+
+
+def written_long(text: str) -> str:
+    """A reading with every shortened word written long."""
+    return " ".join(_LONG_OF.get(w, w) for w in text.split())
+
+
 def forms(name: str) -> set[str]:
     """The folded ways to write a reference entry: its name, shortened words, initials, other numerals."""
     base = numbered(folded(name))
@@ -186,10 +216,8 @@ def forms(name: str) -> set[str]:
         if long in base:
             out |= {base.replace(long, s).replace(f"{s} de ", f"{s} ") for s in shorts} | {base.replace(long, s) for s in shorts}
     for text in list(out):
-        words = text.split()
-        options = [SHORT.get(w, (w,)) for w in words]
-        if np.prod([len(o) for o in options]) <= 64:
-            out |= {" ".join(p) for p in itertools.product(*options)}
+        if not _many_ways(text):
+            out |= {" ".join(p) for p in itertools.product(*_ways(text))}
     words = base.split()
     for i, w in enumerate(words):
         if len(w) >= 6 and len(words) > 1 and w not in CONNECTORS and w not in _WORD_OF:
@@ -228,79 +256,113 @@ class Strings:
     def __init__(self, texts: list[str]) -> None:
         self.sizes = np.fromiter(map(len, texts), np.int32, len(texts))
         self.width = int(self.sizes.max(initial=1))
-        self.codes = _packed(texts, self.width)
+        self.columns = np.ascontiguousarray(_packed(texts, self.width).T)
 
     def distances(self, pattern: str, take: np.ndarray) -> np.ndarray:
-        """Levenshtein distance of ``pattern`` (at most 63 characters) to the strings ``take``, bit-parallel."""
+        """Levenshtein distance of ``pattern`` to the strings ``take``, bit-parallel, 64 letters of the pattern to a word."""
         m, one = len(pattern), np.uint64(1)
-        peq = np.zeros(128, np.uint64)
+        words = -(-m // 64)
+        peq = np.zeros((words, 128), np.uint64)
         for i, c in enumerate(pattern):
-            peq[ord(c)] |= one << np.uint64(i)
-        top = one << np.uint64(m - 1)
-        sizes, codes = self.sizes[take], self.codes[take]
-        order = np.argsort(-sizes, kind="stable")
-        sizes, codes = sizes[order], codes[order]
-        pv = np.full(len(take), ~np.uint64(0))
-        mv = np.zeros(len(take), np.uint64)
+            peq[i // 64, ord(c)] |= one << np.uint64(i % 64)
+        last = [np.uint64(63)] * (words - 1) + [np.uint64((m - 1) % 64)]
+        sizes, order = self.sizes[take], None
+        if (sizes[:-1] < sizes[1:]).any():
+            order = np.argsort(-sizes, kind="stable")
+            sizes, take = sizes[order], take[order]
+        width = int(sizes[0]) if len(sizes) else 0
+        # Strings are in order of length, so the first so many of them reach the column.
+        reach = np.searchsorted(-sizes, -np.arange(width), side="left").tolist()
+        pv = np.full((words, len(take)), ~np.uint64(0))
+        mv = np.zeros((words, len(take)), np.uint64)
         score = np.full(len(take), m, np.int32)
-        for j in range(int(sizes[0]) if len(sizes) else 0):
-            n = int(np.searchsorted(-sizes, -j, side="left"))
-            eq, p, v = peq[codes[:n, j]], pv[:n], mv[:n]
-            xv = eq | v
-            xh = (((eq & p) + p) ^ p) | eq
-            ph, mh = v | ~(xh | p), p & xh
-            score[:n] += ((ph & top) != 0).astype(np.int32) - ((mh & top) != 0)
-            ph = (ph << one) | one
-            pv[:n], mv[:n] = (mh << one) | ~(xv | ph), ph & xv
+        for j, n in enumerate(reach):
+            column = self.columns[j][take[:n]]
+            up, down = one, np.uint64(0)
+            for w in range(words):
+                eq, p, v = peq[w][column], pv[w, :n], mv[w, :n]
+                xv = eq | v
+                eq = eq | down
+                xh = (((eq & p) + p) ^ p) | eq
+                ph, mh = v | ~(xh | p), p & xh
+                up_out, down_out = (ph >> last[w]) & one, (mh >> last[w]) & one
+                ph, mh = (ph << one) | up, (mh << one) | down
+                pv[w, :n], mv[w, :n] = mh | ~(xv | ph), ph & xv
+                up, down = up_out, down_out
+            score[:n] += up.astype(np.int32) - down.astype(np.int32)
+        if order is None:
+            return score
         out = np.empty(len(take), np.int32)
         out[order] = score
         return out
 
 
 class Tree:
-    """A BK-tree of forms under Levenshtein distance; queries descend in batches."""
+    """BK-trees of forms under Levenshtein distance, one for each set of numbers in them; queries descend in batches.
+
+    What is meant has the same numbers as what is typed, so a text need not descend among others.
+    """
 
     def __init__(self, entries: Iterable[tuple[str, str]]) -> None:
+        entries = list(entries)
         owners: dict[str, set[str]] = {}
         for key, name in entries:
             for form in forms(name):
-                if len(form) <= 63:
-                    owners.setdefault(form, set()).add(key)
+                owners.setdefault(form, set()).add(key)
         self.full = {(numbered(folded(name)), key) for key, name in entries}
+        #: Whether some name has more short ways to write it than its forms hold.
+        self.shortened = any(_many_ways(name) for name, _ in self.full)
         # A form that several entries share tells nothing, unless it is the full name of one.
         self.owner: dict[str, list[str]] = {f: sorted(k) for f, k in owners.items()}
-        self.nodes: list[str] = []
-        self.children: list[dict[int, int]] = []
-        for form in sorted(self.owner):
-            self._add(form)
-
-    def _add(self, form: str) -> None:
-        self.nodes.append(form)
-        self.children.append({})
-        new, at = len(self.nodes) - 1, 0
-        while new:
-            d = plain_distance(form, self.nodes[at])
-            nxt = self.children[at].get(d)
-            if nxt is None:
-                self.children[at][d] = new
-                return
-            at = nxt
-
-    def within(self, texts: list[str], radius: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each text every node within its radius, as (distance, node); the triangle inequality prunes."""
+        self.nodes: list[str] = sorted(self.owner)
+        self.longest = max(map(len, self.nodes), default=0)
+        self.children: list[dict[int, int]] = [{} for _ in self.nodes]
+        parts: dict[str, list[int]] = {}
+        for i, form in enumerate(self.nodes):
+            parts.setdefault(digits(form), []).append(i)
+        #: The roots of the trees by their numbers.
+        self.roots = {numbers: part[0] for numbers, part in parts.items()}
+        self._grow([(part[0], np.array(part[1:], np.int64)) for part in parts.values()])
+
+    def _grow(self, stack: list[tuple[int, np.ndarray]]) -> None:
+        """The trees that adding the nodes one by one would give: of those at one distance the first is the child, the others go below it."""
+        strings = Strings(self.nodes)
+        while stack:
+            node, below = stack.pop()
+            if not len(below):
+                continue
+            d = strings.distances(self.nodes[node], below)
+            for edge in np.unique(d).tolist():
+                group = below[d == edge]
+                self.children[node][edge] = int(group[0])
+                stack.append((int(group[0]), group[1:]))
+
+    def within(self, texts: list[str], radius: np.ndarray, numbers: bool = False) -> list[list[tuple[int, int]]]:
+        """For each text every node within its radius, as (distance, node); the triangle inequality prunes.
+
+        With ``numbers`` only nodes that have the numbers of the text. A text that is longer than every node by more than its radius is near to none.
+        """
         found: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if not self.nodes or not texts:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        asked = np.flatnonzero(sizes <= self.longest + radius)
+        if not self.nodes or not len(asked):
             return found
-        strings = Strings(texts)
-        stack = [(0, np.arange(len(texts)))]
+        asked = asked[np.argsort(-sizes[asked], kind="stable")]
+        strings, most = Strings([texts[i] for i in asked.tolist()]), radius[asked]
+        everything = np.arange(len(asked))
+        if numbers:
+            own = np.array([self.roots.get(digits(texts[i]), -1) for i in asked.tolist()])
+            stack = [(root, np.flatnonzero(own == root)) for root in np.unique(own[own >= 0]).tolist()]
+        else:
+            stack = [(root, everything) for root in self.roots.values()]
         while stack:
             node, take = stack.pop()
             d = strings.distances(self.nodes[node], take)
-            near = d <= radius[take]
-            for i, x in zip(take[near].tolist(), d[near].tolist()):
+            near = d <= most[take]
+            for i, x in zip(asked[take[near]].tolist(), d[near].tolist()):
                 found[i].append((x, node))
             for edge, child in self.children[node].items():
-                go = take[np.abs(d - edge) <= radius[take]]
+                go = take[np.abs(d - edge) <= most[take]]
                 if len(go):
                     stack.append((child, go))
         return found
@@ -317,42 +379,65 @@ def believable(text: str, edits: int) -> bool:
     return edits <= (1 if len(text) <= 5 else 2 if len(text) < 16 else 3)
 
 
-def match_values(tree: Tree, values: list[str]) -> list[tuple[str, int]]:
-    """The entry (key, distance) that each value means, or (``sin_clave``, -1)."""
+#: What a tree tells of a value: (whether no reading is written exactly so, edits, whether the form is no full name, smallest and largest key of the best).
+Rank = tuple[bool, int, bool, str, str]
+
+
+def ranked_values(tree: Tree, values: list[str]) -> list[Rank | None]:
+    """The best rank that a tree has for each value, with the smallest and largest of the keys that share it; None without a match.
+
+    All readings descend in the tree without any edits first; only values of which no reading is
+    found so descend again with the edits that their length allows. Ranks of the parts of a
+    list, compared, give the rank in the whole list.
+    """
     spoken = [list(dict.fromkeys(readings(v) + trimmed_readings(v))) for v in values]
-    spoken = [[t for t in ts if len(t) <= 120] for ts in spoken]
-    exact = [[t for t in ts if t in tree.owner] for ts in spoken]
-    unique = sorted({t for ts, e in zip(spoken, exact) if not e for t in ts})
-    hits = {t: [(0, t)] for e in exact for t in e}
-    for text, found in zip(unique, tree.within(unique, np.fromiter(map(allowed, unique), np.int32, len(unique)))):
-        hits[text] = [(d, tree.nodes[node]) for d, node in found]
-    out = []
+    if tree.shortened:
+        spoken = [list(dict.fromkeys([*ts, *map(written_long, ts)])) for ts in spoken]
+    hits: dict[str, list[tuple[int, str]]] = {}
+
+    def descend(texts: set[str], radius) -> None:
+        asked = sorted(texts)
+        for text, found in zip(asked, tree.within(asked, np.fromiter(map(radius, asked), np.int32, len(asked)), numbers=True)):
+            hits[text] = [(d, tree.nodes[node]) for d, node in found]
+
+    descend({t for ts in spoken for t in ts}, lambda _: 0)
+    exact = [[t for t in ts if hits[t]] for ts in spoken]
+    descend({t for ts, e in zip(spoken, exact) if not e for t in ts}, allowed)
+    out: list[Rank | None] = []
     for ts, e in zip(spoken, exact):
-        best: dict[str, tuple] = {}
+        best: dict[str, tuple[int, bool]] = {}
         for text in e or ts:
             for d, form in hits[text]:
-                if digits(form) != digits(text):
+                if e and d:
                     continue
-                edits = swap_distance(text, form) if d else 0
+                edits = d if d < 2 else swap_distance(text, form)
                 if not believable(text, edits):
                     continue
                 for key in tree.owner[form]:
-                    rank = (edits, (form, key) not in tree.full, key)
+                    rank = (edits, (form, key) not in tree.full)
                     if key not in best or rank < best[key]:
                         best[key] = rank
-        ranked = sorted(best.values())
-        tie = len(ranked) > 1 and ranked[0][:2] == ranked[1][:2]
-        out.append((NONE, -1) if tie or not ranked else (ranked[0][2], ranked[0][0]))
+        if not best:
+            out.append(None)
+            continue
+        top = min(best.values())
+        keys = [k for k, rank in best.items() if rank == top]
+        out.append((not e, *top, min(keys), max(keys)))
     return out
 
 
+def match_values(tree: Tree, values: list[str]) -> list[tuple[str, int]]:
+    """The entry (key, distance) that each value means, or (``sin_clave``, -1)."""
+    return [(NONE, -1) if r is None or r[3] != r[4] else (r[3], r[1]) for r in ranked_values(tree, values)]
+
+
 def map_to_canonical(df: DataFrame, record: str, fields: list[str], reference: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Rows (id, campo, valor, clave, distancia) for every value of ``fields`` that is neither null nor blank.
 
     ``reference`` has ``clave``, ``campo`` and ``nombre``. Its size is checked: up to
     ``broadcast_entries`` it goes to every worker as BK-trees, so that rows stay where
     they are read; beyond that it is cut into shards, each value visits every shard and
-    the nearest of the shards' winners is kept. A value within the radius of no entry,
+    the best of the shards' ranks is kept, ties across shards being ties as within one. A value within the radius of no entry,
     or as near to two, gives ``sin_clave`` and -1. Null and blank values give no row;
     repeated rows give repeated rows; an empty reference leaves all values unmatched.
     """
@@ -421,13 +506,17 @@ def _sharded(values: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
             own = right[right["campo"] == field]
             tree = Tree(list(zip(own["clave"], own["nombre"])))
             texts = group["valor"].tolist()
-            got = match_values(tree, texts)
-            out.append(pd.DataFrame({"campo": field, "valor": texts, "clave": [k for k, _ in got], "distancia": [d for _, d in got]}))
-        return pd.concat(out) if out else pd.DataFrame({"campo": [], "valor": [], "clave": [], "distancia": []})
-
-    winners = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(run, "campo string, valor string, clave string, distancia int")
-    merged = winners.groupBy("campo", "valor").agg(
-        F.min(F.when(F.col("distancia") >= 0, F.struct("distancia", "clave"))).alias("w"),
-    )
+            rows = [(field, v, *r) for v, r in zip(texts, ranked_values(tree, texts)) if r is not None]
+            out.append(pd.DataFrame(rows, columns=columns))
+        return pd.concat(out) if out else pd.DataFrame([], columns=columns)
+
+    columns = ["campo", "valor", "aproximado", "distancia", "parcial", "primera", "ultima"]
+    kinds = ("string", "string", "boolean", "int", "boolean", "string", "string")
+    ranks = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(run, ", ".join(map(" ".join, zip(columns, kinds))))
+    # One rank a shard at most: the best of all, and the outermost of the keys that share it.
+    best = ranks.groupBy("campo", "valor").agg(F.min(F.struct(*columns[2:5])).alias("r"), F.collect_list(F.struct(*columns[2:])).alias("all"))
+    shared = F.filter("all", lambda x: F.struct(*[x[c].alias(c) for c in columns[2:5]]) == F.col("r"))
+    ends = best.select("campo", "valor", F.col("r.distancia").alias("distancia"), F.array_min(F.transform(shared, lambda x: x["primera"])).alias("a"), F.array_max(F.transform(shared, lambda x: x["ultima"])).alias("b"))
+    merged = ends.filter("a = b").select("campo", "valor", F.struct("distancia", F.col("a").alias("clave")).alias("w"))
     joined = values.join(merged, ["campo", "valor"], "left")
     return joined.select("id", "campo", "valor", F.coalesce("w.clave", F.lit(NONE)).alias("clave"), F.coalesce("w.distancia", F.lit(-1)).alias("distancia"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartulario.llm.canonical import NONE, Strings, Tree, allowed, map_to_canonical, match_values, plain_distance
+from cartulario.llm.canonical import NONE, Strings, Tree, allowed, map_to_canonical, match_values, plain_distance, swap_distance
 
 ENTRIES = [
     ("t1", "tribunal", "Corte Suprema"),
@@ -38,7 +38,7 @@ def test_batched_distance_is_the_edit_metric():
     rng = random.Random(3)
     texts = ["".join(rng.choice("abc d1") for _ in range(rng.randrange(1, 70))) for _ in range(200)]
     strings = Strings(texts)
-    for pattern in ["a", "abc d", "abcd1" * 12, "d" * 63]:
+    for pattern in ["a", "abc d", "abcd1" * 12, "d" * 63, "d" * 64, "ab1c " * 13, "abc d1" * 40]:
         got = strings.distances(pattern, np.arange(len(texts)))
         assert got.tolist() == [plain_distance(pattern, t) for t in texts]
 
@@ -90,3 +90,45 @@ def test_empty_tables(spark):
     none = map_to_canonical(df, "id", ["sala"], ref.limit(0)).collect()
     assert {r.clave for r in none} == {NONE}
     assert map_to_canonical(df.limit(0), "id", ["sala"], ref).collect() == []
+
+
+LONG = "instituto de " + " ".join(f"materia{i} y asunto{i * 7}" for i in range(12))
+TIES = [
+    ("a1", "materia", "banana rojo"), ("a2", "materia", "banana roja"), ("a3", "materia", "banano roje"),
+    ("b1", "materia", "Corte de Apelaciones de Talca"), ("b2", "materia", "CA Talca"), ("c1", "materia", "pera verde"), ("c2", "materia", "pera verdes"),
+    ("d1", "materia", LONG), ("d2", "materia", "x" * 70), ("d3", "materia", "juzgado tribunal corte suprema apelaciones garantia familia trabajo sala especial constitucional"),
+    ("e1", "materia", "gemelos iguales"), ("e2", "materia", "gemelos iguales"),
+]
+ASKED = {
+    "banano rojo": NONE, "banana roj": NONE, "ca talca": "b2", "c a talca": "b1", "pera verde": "c1", "pera verdez": NONE, LONG: "d1", LONG.replace("materia3", "matreia3"): "d1", LONG + " zzzz zzzz": NONE,
+    "x" * 70: "d2", "x" * 68: "d2", "x" * 60: NONE, "j t c sup a gtia flia trab s esp const": "d3", "gemelos iguales": NONE, "gemelo iguales": NONE, "z" * 100_000: NONE,
+}
+
+
+@pytest.mark.parametrize("most", [1, 3, 20_000])
+def test_parts_of_the_list_give_what_the_whole_gives(spark, most):
+    """Ties and full names across shards, entries of hundreds of letters, and names with many short ways to write them."""
+    df = spark.createDataFrame(list(enumerate(ASKED)), "id long, materia string")
+    ref = spark.createDataFrame(TIES, "clave string, campo string, nombre string")
+    got = {r.id: (r.clave, r.distancia) for r in map_to_canonical(df, "id", ["materia"], ref, broadcast_entries=most).collect()}
+    assert {v: got[i][0] for i, v in enumerate(ASKED)} == ASKED
+    assert {i for i, (k, d) in got.items() if d < 0} == {i for i, (k, _) in got.items() if k == NONE}
+
+
+def test_equal_ends_do_not_change_the_distance_with_swaps():
+    rng = random.Random(9)
+
+    def plainly(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                cost = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    cost = min(cost, rows[i - 2][j - 2] + 1)
+                rows[i].append(cost)
+        return rows[-1][-1]
+
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert swap_distance(a, b) == plainly(a, b)
