@@ -15,7 +15,6 @@ NORM_STARTS = (
 #: Opening quotation marks and the mark that closes each.
 QUOTES = {'"': '"', "“": "”", "«": "»"}
 
-_BREAK = "\u001e"
 _BLANK = r"[\s\u0085\u00a0\u2007\u202f\u200b\ufeff]"
 
 
@@ -27,7 +26,7 @@ def _starts() -> str:
 def delimiter_pattern() -> str:
     """Separators outside quotes: marks, line ends, a slash not between digits, a comma before a norm or nothing."""
     comma = rf",(?={_BLANK}*(?:{_starts()}|[,;|·•\n\r\t]|/{_BLANK}|$))"
-    return rf"(?iu)[;|·•\n\r\t  \u0085\u000b\f{_BREAK}]|(?<!\d)/|/(?!\d)|{comma}"
+    return rf"(?iu)[;|·•\n\r\t  \u0085\u000b\f\u001e]|(?<!\d)/|/(?!\d)|{comma}"
 
 
 def _bare(value: Column) -> Column:
@@ -46,9 +45,9 @@ def packed_values(field: Column) -> Column:
     """An array of the values of one packed field, in order, without empty ones.
 
     The field is split at quotation marks. A fold over the pieces keeps the mark
-    that is open: pieces within quotes are literal, in the others each delimiter
-    becomes one break character, and the reassembled string is cut at the breaks.
-    A doubled mark closes and opens again, so it stays within its literal. Where a
+    that is open and the value that it stands in: pieces within quotes are literal and go on
+    with that value, the others are split at delimiters, and each part but the first begins
+    a value. A doubled mark closes and opens again, so it stays within its literal. Where a
     quotation mark is never closed, marks are taken as ordinary characters.
 
     A null field gives an empty array, as does an empty or blank one. Repeated
@@ -60,7 +59,7 @@ def packed_values(field: Column) -> Column:
     opens = F.create_map(*[F.lit(x) for pair in QUOTES.items() for x in pair])
 
     def cut(text: Column) -> Column:
-        return F.regexp_replace(text, delimiter_pattern(), _BREAK)
+        return F.split(text, delimiter_pattern(), -1)
 
     def step(state: Column, piece: Column) -> Column:
         outside = state["closer"] == ""
@@ -69,13 +68,17 @@ def packed_values(field: Column) -> Column:
             .when(~outside & (piece == state["closer"]), F.lit(""))
             .otherwise(state["closer"])
         )
-        text = F.when(outside & ~piece.isin(*QUOTES), cut(piece)).otherwise(piece)
-        return F.struct(F.concat(state["text"], text).alias("text"), closer.alias("closer"))
-
-    start = F.struct(F.lit("").alias("text"), F.lit("").alias("closer"))
-    quoted = F.aggregate(pieces, start, step, lambda s: F.when(s["closer"] == "", s["text"]).otherwise(F.lit(None)))
+        # The first part goes on with the value that is open, each other part begins one.
+        parts = F.when(outside & ~piece.isin(*QUOTES), cut(piece)).otherwise(F.array(piece))
+        open_ = F.concat(state["open"], F.element_at(parts, 1))
+        whole = F.size(parts) == 1
+        done = F.when(whole, state["done"]).otherwise(F.concat(state["done"], F.array(open_), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
+        return F.struct(done.alias("done"), F.when(whole, open_).otherwise(F.element_at(parts, -1)).alias("open"), closer.alias("closer"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("closer"))
+    quoted = F.aggregate(pieces, start, step, lambda s: F.when(s["closer"] == "", F.concat(s["done"], F.array(s["open"]))))
     broken = F.coalesce(F.when(field.rlike(f"[{marks}]"), quoted), cut(field))
-    values = F.transform(F.split(broken, _BREAK), lambda v: _bare(_unquoted(_bare(v))))
+    values = F.transform(broken, lambda v: _bare(_unquoted(_bare(v))))
     return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))
 
 

@@ -16,8 +16,7 @@ def _keys() -> dict:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with at least one hundredth of all rows of ``cita``."""
-    cita = table(spark, sf_dir, "cita").select("destino", "rel", "origen", "n")
-    return heavy_keys(cita, _keys(), F.col("origen"), F.col("n"), 0.01).select("destino", "rel")
+    return heavy_keys(table(spark, sf_dir, "cita").select("destino", "rel"), _keys(), 0.01).select("destino", "rel")
 
 
 def p2_claves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ CASES = [
     ("CPR · CPR\nCPR", ["CPR", "CPR", "CPR"]),
     ("“Código Civil | anexo 3” / Ley N° 1, Art. 2 inciso segundo", ["Código Civil | anexo 3", "Ley N° 1, Art. 2 inciso segundo"]),
     ('"A" y "B"', ['"A" y "B"']),
+    ('"uno\u001edos"; Ley 1', ["uno\u001edos", "Ley 1"]),
+    ('Ley 1 "a;b" Art. 2; "c", Ley 2 "d" / x', ['Ley 1 "a;b" Art. 2', "c", 'Ley 2 "d"', "x"]),
 ]
 
 
