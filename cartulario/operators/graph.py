@@ -20,6 +20,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ways), "peso").groupBy("a", "b").agg(F.sum("peso").alias("peso"))
 
 
+def curated_degrees(edges: DataFrame, layer: str, curated: str) -> DataFrame:
+    """(nodo, grado, curado): all edges of a node, and those of the curated layer."""
+    ends = F.explode(F.array("src", "dst")).alias("nodo")
+    return edges.select(ends, F.col(layer).alias("__l")).groupBy("nodo").agg(F.count(F.lit(1)).alias("grado"), F.count_if(F.col("__l") == curated).alias("curado"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(nodo, entrada, salida, grado): edges in, out and together."""
     ends = F.array(F.struct(F.col("src").alias("nodo"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("nodo"), F.lit(0).alias("o"), F.lit(1).alias("i")))
@@ -50,82 +56,155 @@ def neighbour_lists(edges: DataFrame, k: int) -> DataFrame:
     return totals.join(lists, keys)
 
 
+#: A frontier of up to this many nodes goes to every worker; a larger one is joined.
+FEW = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def ego(edges: DataFrame, seeds: DataFrame, hops: int, fan: int) -> DataFrame:
     """(nodo, distancia) of what is within ``hops`` of the seeds (column ``nodo``), both ways.
 
     From each reached node only its ``fan`` heaviest neighbours are followed, ties by id: the
-    bound on hubs is the feature of this view. Lineage is cut after each hop.
+    bound on hubs is the feature of this view. Only edges of the frontier are ranked; the
+    lineage is cut after each hop.
     """
-    ways = undirected(edges)
+    ways = materialize(undirected(edges))
     w = Window.partitionBy("a").orderBy(F.desc("peso"), "b")
-    near = ways.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= fan).select("a", "b")
-    reached = seeds.select("nodo").distinct().withColumn("distancia", F.lit(0))
-    front = reached
+    reached = front = materialize(seeds.select("nodo").distinct().withColumn("distancia", F.lit(0)))
     for hop in range(1, hops + 1):
-        step = near.join(front.select(F.col("nodo").alias("a")), "a").select(F.col("b").alias("nodo")).distinct()
+        near = ways.join(_few(front.select(F.col("nodo").alias("a"))), "a").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= fan)
+        step = near.select(F.col("b").alias("nodo")).distinct()
         front = materialize(step.join(reached.select("nodo"), "nodo", "left_anti").withColumn("distancia", F.lit(hop)))
         reached = reached.unionByName(front)
     return reached
 
 
-def distances(edges: DataFrame, seed, most: int = 64) -> DataFrame:
-    """(nodo, distancia, previo): breadth-first distances from a node over undirected edges, with the smallest predecessor."""
-    ways = materialize(undirected(edges).select("a", "b"))
-    spark = edges.sparkSession
-    schema = f"nodo {edges.schema['src'].dataType.simpleString()}, distancia int, previo {edges.schema['src'].dataType.simpleString()}"
-    reached = front = spark.createDataFrame([(seed, 0, None)], schema)
-    for hop in range(1, most + 1):
-        step = ways.join(front.select(F.col("nodo").alias("a")), "a").groupBy(F.col("b").alias("nodo")).agg(F.min("a").alias("previo"))
+def distances(edges: DataFrame, seed, until=None) -> DataFrame:
+    """(nodo, distancia, previo): breadth-first distances from a node over undirected edges, with the smallest predecessor.
+
+    Hops go on until nothing new is reached or, if given, the node ``until`` is.
+    """
+    return _distances(materialize(undirected(edges).select("a", "b")), seed, until)
+
+
+def _distances(ways: DataFrame, seed, until=None) -> DataFrame:
+    kind = ways.schema["a"].dataType.simpleString()
+    reached = front = ways.sparkSession.createDataFrame([(seed, 0, None)], f"nodo {kind}, distancia int, previo {kind}")
+    hop = 0
+    while not front.isEmpty() and (until is None or front.filter(F.col("nodo") == F.lit(until)).isEmpty()):
+        hop += 1
+        step = ways.join(_few(front.select(F.col("nodo").alias("a"))), "a").groupBy(F.col("b").alias("nodo")).agg(F.min("a").alias("previo"))
         front = materialize(step.join(reached.select("nodo"), "nodo", "left_anti").select("nodo", F.lit(hop).alias("distancia"), "previo"))
-        if front.isEmpty():
-            break
         reached = reached.unionByName(front)
     return reached
 
 
-def blast_radius(edges: DataFrame) -> DataFrame:
-    """(nodo, directos, cascada, nivel) for every node that is pointed to: who depends on it, and who on them in turn.
+def all_shortest_paths(edges: DataFrame, start, end, most: int = 3) -> DataFrame:
+    """(orden, camino, relaciones): the first ``most`` shortest undirected paths between two nodes, in the order of their nodes.
 
-    The second step counts distinct predecessors of predecessors without the node and its
-    direct ones. It is a join of edges with edges; callers give edge sets whose paths of
-    length two are within reason (here: a dimension graph).
+    ``camino`` is an array of nodes, ``relaciones`` one of labels: the smallest relation of the edge
+    as it points, or ``es_<relation>_de`` against it. Distances are found first; the nodes on
+    shortest paths are marked from the end back; then paths grow from the start, of which each
+    node keeps the first ``most``: a hub never gathers more. No path gives no row.
+    """
+    ways = materialize(undirected(edges).select("a", "b"))
+    level = materialize(_distances(ways, start, end).select("nodo", "distancia"))
+    last = level.filter(F.col("nodo") == F.lit(end)).select("distancia").head()
+    kind = ways.schema["a"].dataType.simpleString()
+    if last is None:
+        return ways.sparkSession.createDataFrame([], f"orden int, camino array<{kind}>, relaciones array<string>")
+    on = [level.filter((F.col("nodo") == F.lit(end)) & (F.col("distancia") == last.distancia)).select("nodo")]
+    for hop in range(last.distancia - 1, 0, -1):
+        before = ways.join(_few(on[0].select(F.col("nodo").alias("a"))), "a").select(F.col("b").alias("nodo")).distinct()
+        on.insert(0, materialize(before.join(level.filter(F.col("distancia") == hop).select("nodo"), "nodo", "left_semi")))
+    paths = ways.sparkSession.createDataFrame([(start, [start])], f"nodo {kind}, camino array<{kind}>")
+    for marked in on if last.distancia else []:
+        grown = ways.join(F.broadcast(paths.withColumnRenamed("nodo", "a")), "a").join(marked.select(F.col("nodo").alias("b")), "b", "left_semi")
+        grown = grown.select(F.col("b").alias("nodo"), F.concat("camino", F.array("b")).alias("camino"))
+        best = Window.partitionBy("nodo").orderBy("camino")
+        paths = materialize(grown.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= most).drop("__n"))
+    ranked = paths.withColumn("orden", F.row_number().over(Window.partitionBy("nodo").orderBy("camino")))
+    steps = ranked.select("orden", "camino", F.posexplode(F.slice("camino", 1, F.size("camino") - 1)).alias("paso", "x")).withColumn("y", F.get("camino", F.col("paso") + 1))
+    labels = edges.groupBy("src", "dst").agg(F.min("rel").alias("rel"))
+    # At most ``most`` paths are left: a few rows on the side that is broadcast.
+    there = labels.join(F.broadcast(steps), (F.col("src") == F.col("x")) & (F.col("dst") == F.col("y"))).select("orden", "paso", F.struct(F.lit(0).alias("s"), F.col("rel").alias("t")).alias("r"))
+    back = labels.join(F.broadcast(steps), (F.col("src") == F.col("y")) & (F.col("dst") == F.col("x"))).select("orden", "paso", F.struct(F.lit(1).alias("s"), F.concat(F.lit("es_"), "rel", F.lit("_de")).alias("t")).alias("r"))
+    named = there.unionByName(back).groupBy("orden", "paso").agg(F.min("r").alias("r")).groupBy("orden").agg(F.array_sort(F.collect_list(F.struct("paso", F.col("r.t").alias("t")))).alias("l"))
+    out = ranked.join(F.broadcast(named), "orden", "left")
+    return out.select("orden", "camino", F.coalesce(F.transform("l", lambda x: x["t"]), F.array().cast("array<string>")).alias("relaciones"))
+
+
+def blast_radius(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(nodo, directos, cascada, nivel) of each target (column ``nodo``): what a change of it touches.
+
+    Direct are those that point to it or, if none does, those that it points to; the cascade
+    is what the direct ones point to, without the target and the direct ones. Work is bounded by
+    the edges of the targets and of their direct nodes. Targets without any edge have 0 and 0.
     """
     e = edges.select("src", "dst").distinct()
-    direct = e.groupBy(F.col("dst").alias("nodo")).agg(F.count(F.lit(1)).alias("directos"))
-    first, second = e.select(F.col("src").alias("mid"), F.col("dst").alias("nodo")), e.select(F.col("src").alias("far"), F.col("dst").alias("mid"))
-    two = first.join(second, "mid").filter(F.col("far") != F.col("nodo")).select("nodo", "far").distinct()
-    two = two.join(e.select(F.col("dst").alias("nodo"), F.col("src").alias("far")), ["nodo", "far"], "left_anti")
-    cascade = two.groupBy("nodo").agg(F.count(F.lit(1)).alias("cascada"))
-    out = direct.join(cascade, "nodo", "left").withColumn("cascada", F.coalesce("cascada", F.lit(0).cast("long")))
+    wanted = targets.select("nodo").distinct()
+    come = e.join(wanted, F.col("dst") == F.col("nodo")).select("nodo", F.col("src").alias("mid"))
+    go = e.join(wanted, F.col("src") == F.col("nodo")).join(come.select("nodo").distinct(), "nodo", "left_anti").select("nodo", F.col("dst").alias("mid"))
+    direct = materialize(come.unionByName(go).filter(F.col("mid") != F.col("nodo")))
+    far = direct.join(e, F.col("mid") == F.col("src")).select("nodo", F.col("dst").alias("far")).filter(F.col("far") != F.col("nodo")).distinct()
+    far = far.join(direct.select("nodo", F.col("mid").alias("far")), ["nodo", "far"], "left_anti")
+    counts = wanted.join(direct.groupBy("nodo").agg(F.count(F.lit(1)).alias("directos")), "nodo", "left").join(far.groupBy("nodo").agg(F.count(F.lit(1)).alias("cascada")), "nodo", "left")
+    none = F.lit(0).cast("long")
+    out = counts.select("nodo", F.coalesce("directos", none).alias("directos"), F.coalesce("cascada", none).alias("cascada"))
     total = F.col("directos") + F.col("cascada")
     return out.withColumn("nivel", F.when(total >= 8, "ALTO").when(total >= 3, "MEDIO").otherwise("BAJO"))
 
 
-def pagerank(edges: DataFrame, rounds: int, alpha: float = 0.85, restart: DataFrame | None = None, cut: int = 5) -> DataFrame:
-    """(nodo, puntaje): weighted PageRank after a fixed number of rounds; what dangling nodes hold is shared out by the restart weights.
+def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, restart: DataFrame | None = None, cut: int = 5, tolerance: float | None = 1e-6) -> DataFrame:
+    """(nodo, puntaje): weighted PageRank; what dangling nodes hold is shared out by the restart weights.
 
-    ``restart`` (nodo, parte with sum 1) personalises it; without it all nodes restart alike.
-    Contributions to a hub are added up on the map side. The lineage is cut every ``cut`` rounds.
+    Rounds end when all ranks together move by less than ``tolerance`` for each node, looked at
+    every ``cut`` rounds when the lineage is cut, and after ``rounds`` at the latest; with a
+    tolerance of None exactly ``rounds`` are run. ``restart`` (nodo, parte with sum 1) personalises
+    it; without it all nodes restart alike. Contributions to a hub are added up on the map side.
     """
     links = edges.groupBy("src", "dst").agg(F.sum("peso").alias("peso"))
     out = links.groupBy("src").agg(F.sum("peso").alias("__out"))
     links = materialize(links.join(out, "src").select("src", "dst", (F.col("peso") / F.col("__out")).alias("parte")))
-    nodes = degrees(links.withColumn("rel", F.lit(""))).select("nodo")
+    nodes = materialize(links.select(F.explode(F.array("src", "dst")).alias("nodo")).distinct())
     n = nodes.count()
     if restart is None:
         base = nodes.withColumn("__r", F.lit(1.0 / max(n, 1)))
     else:
         base = nodes.join(restart.select("nodo", F.col("parte").alias("__r")), "nodo", "left").withColumn("__r", F.coalesce("__r", F.lit(0.0)))
-    base = materialize(base.join(out.select(F.col("src").alias("nodo"), F.lit(True).alias("__has")), "nodo", "left"))
-    rank = base.select("nodo", F.col("__r").alias("puntaje"))
+    base = materialize(base.join(links.select(F.col("src").alias("nodo")).distinct().withColumn("__has", F.lit(True)), "nodo", "left"))
+    rank = base.select("nodo", F.col("__r").alias("puntaje"), F.col("__r").alias("__was"))
     for i in range(1, rounds + 1):
         loose = rank.join(base.filter("__has IS NULL").select("nodo"), "nodo", "left_semi").agg(F.coalesce(F.sum("puntaje"), F.lit(0.0)).alias("__loose"))
-        come = links.join(rank, F.col("src") == F.col("nodo")).groupBy("dst").agg(F.sum(F.col("puntaje") * F.col("parte")).alias("__come"))
-        joined = base.join(come, F.col("nodo") == F.col("dst"), "left").join(F.broadcast(loose))
-        rank = joined.select("nodo", (F.lit(1 - alpha) * F.col("__r") + alpha * (F.coalesce("__come", F.lit(0.0)) + F.col("__loose") * F.col("__r"))).alias("puntaje"))
-        if i % cut == 0 and i < rounds:
+        come = links.join(rank.select("nodo", "puntaje"), F.col("src") == F.col("nodo")).groupBy("dst").agg(F.sum(F.col("puntaje") * F.col("parte")).alias("__come"))
+        now = base.join(come, F.col("nodo") == F.col("dst"), "left").join(F.broadcast(loose))
+        now = now.select("nodo", (F.lit(1 - alpha) * F.col("__r") + alpha * (F.coalesce("__come", F.lit(0.0)) + F.col("__loose") * F.col("__r"))).alias("puntaje"))
+        watched = i % cut == 0 and i < rounds
+        rank = now.join(rank.select("nodo", F.col("puntaje").alias("__was")), "nodo") if watched and tolerance is not None else now
+        if watched:
             rank = materialize(rank)
-    return rank
+            if tolerance is not None and (rank.agg(F.sum(F.abs(F.col("puntaje") - F.col("__was")))).head()[0] or 0.0) <= tolerance * n:
+                break
+    return rank.select("nodo", "puntaje")
+
+
+def personal_pagerank(edges: DataFrame, seeds: DataFrame, radius: int = 2, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
+    """PageRank that restarts at the seeds (column ``nodo``, alike), on the undirected part of the graph within ``radius`` of them."""
+    ways = materialize(undirected(edges))
+    reached = front = materialize(seeds.select("nodo").distinct())
+    for _ in range(radius):
+        step = ways.join(_few(front.select(F.col("nodo").alias("a"))), "a").select(F.col("b").alias("nodo")).distinct()
+        front = materialize(step.join(reached, "nodo", "left_anti"))
+        reached = reached.unionByName(front)
+    inside = ways.join(reached.select(F.col("nodo").alias("a")), "a", "left_semi").join(reached.select(F.col("nodo").alias("b")), "b", "left_semi")
+    known = seeds.select("nodo").distinct().join(ways.select(F.col("a").alias("nodo")), "nodo", "left_semi")
+    total = known.agg(F.count(F.lit(1)).alias("__n"))
+    restart = known.join(F.broadcast(total)).select("nodo", (F.lit(1.0) / F.col("__n")).alias("parte"))
+    return pagerank(inside.select(F.col("a").alias("src"), F.col("b").alias("dst"), "peso"), rounds, alpha, restart, tolerance=tolerance)
 
 
 def communities(edges: DataFrame, rounds: int, side: Column | None = None) -> DataFrame:

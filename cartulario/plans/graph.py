@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulario.functions.ids import parent_id
 from cartulario.operators import graph as ops
 from cartulario.operators.heavy_keys import folded
 from cartulario.plans.base import Catalogue
-from cartulario.session import table
+from cartulario.session import materialize, table
 
 CATALOGUE = Catalogue()
 #: Who cites what: entries are even numbers, what is cited odd ones.
 _EDGES = """e AS (SELECT 2 * origen AS src, 2 * destino + 1 AS dst, lower(regexp_replace(rel, '^\\s+|\\s+$', '', 'g')) AS rel, CAST(sum(n) AS BIGINT) AS peso
              FROM cita WHERE destino IS NOT NULL AND origen IS NOT NULL AND rel IS NOT NULL GROUP BY 1, 2, 3)"""
 _WAYS = f"{_EDGES}, u AS (SELECT a, b, CAST(sum(peso) AS BIGINT) AS peso FROM (SELECT src AS a, dst AS b, peso FROM e UNION ALL SELECT dst, src, peso FROM e) GROUP BY 1, 2)"
-#: A dimension graph: customers to nations, suppliers to nations, nations to regions.
-_DIMENSIONS = """d AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
-                  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+#: The corpus as a graph of canonical ids: entries to what they cite, parts of norms to the whole.
+_CORPUS = """cx AS (SELECT e.id AS src, r.id AS dst, lower(regexp_replace(c.rel, '^\\s+|\\s+$', '', 'g')) AS rel, CAST(sum(c.n) AS BIGINT) AS peso
+               FROM cita c JOIN entrada e ON e.n = c.origen JOIN referencia r ON r.n = c.destino
+               WHERE c.rel IS NOT NULL AND e.id IS NOT NULL AND r.id IS NOT NULL AND e.id <> r.id GROUP BY 1, 2, 3
+               UNION ALL SELECT DISTINCT id, regexp_replace(id, ':[^:]*$', ''), 'parte_de', CAST(1 AS BIGINT) FROM referencia WHERE id LIKE '%:%:%')"""
+_BOTH = f"{_CORPUS}, cu AS (SELECT a, b, CAST(sum(peso) AS BIGINT) AS peso FROM (SELECT src AS a, dst AS b, peso FROM cx UNION ALL SELECT dst, src, peso FROM cx) GROUP BY 1, 2)"
 
 
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,13 +31,14 @@ def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.accumulated(e)
 
 
-def dimension_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers to nations, nations to regions."""
-    parts = []
-    for name, a, x, b, y in (("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")):
-        t = table(spark, sf_dir, name)
-        parts.append(t.select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"), F.lit("de").alias("rel"), F.lit(1).cast("long").alias("peso")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def corpus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries to what they cite, by canonical ids, and parts of norms to the whole."""
+    e = table(spark, sf_dir, "entrada").select(F.col("n").alias("origen"), F.col("id").alias("src"))
+    r = table(spark, sf_dir, "referencia").select(F.col("n").alias("destino"), F.col("id").alias("dst"))
+    c = table(spark, sf_dir, "cita").filter("rel IS NOT NULL").select("origen", "destino", folded("rel").alias("rel"), F.col("n").alias("peso"))
+    cited = ops.accumulated(c.join(e, "origen").join(r, "destino").select("src", "dst", "rel", "peso"))
+    parts = r.select(F.col("dst").alias("src"), parent_id(F.col("dst")).alias("dst"), F.lit("parte_de").alias("rel"), F.lit(1).cast("long").alias("peso"))
+    return cited.unionByName(parts.filter("dst IS NOT NULL").distinct())
 
 
 @CATALOGUE.query(f"WITH {_EDGES} SELECT * FROM e")
@@ -83,31 +88,72 @@ def ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ego(citation_edges(spark, sf_dir), seeds, 3, 30)
 
 
+_TARGETS = ("norma:cpr:19", "norma:codigo-civil", "norma:codigo-trabajo", "cs:1-2025", "cs:6-2021", "tc:11", "nada:0")
+
+
 @CATALOGUE.query(
-    f"""WITH {_DIMENSIONS}, dir AS (SELECT dst AS nodo, count(*) AS directos FROM (SELECT DISTINCT * FROM d) GROUP BY 1),
-        two AS (SELECT DISTINCT x.dst AS nodo, y.src AS far FROM d x JOIN d y ON y.dst = x.src WHERE y.src <> x.dst),
-        cas AS (SELECT nodo, count(*) AS c FROM two WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.dst = two.nodo AND d.src = two.far) GROUP BY nodo)
-        SELECT nodo, directos, coalesce(c, 0) AS cascada, CASE WHEN directos + coalesce(c, 0) >= 8 THEN 'ALTO' WHEN directos + coalesce(c, 0) >= 3 THEN 'MEDIO' ELSE 'BAJO' END AS nivel
-        FROM dir LEFT JOIN cas USING (nodo)"""
+    f"""WITH {_CORPUS}, d AS (SELECT DISTINCT src, dst FROM cx), w AS (SELECT unnest({list(_TARGETS)}) AS nodo),
+        p AS (SELECT w.nodo, d.src AS mid FROM w JOIN d ON d.dst = w.nodo),
+        m AS (SELECT * FROM p UNION ALL SELECT w.nodo, d.dst FROM w JOIN d ON d.src = w.nodo WHERE w.nodo NOT IN (SELECT nodo FROM p)),
+        f AS (SELECT DISTINCT m.nodo, d.dst AS far FROM m JOIN d ON d.src = m.mid WHERE d.dst <> m.nodo),
+        k AS (SELECT nodo, (SELECT count(*) FROM m WHERE m.nodo = w.nodo) AS directos,
+                     (SELECT count(*) FROM f WHERE f.nodo = w.nodo AND NOT EXISTS (SELECT 1 FROM m WHERE m.nodo = f.nodo AND m.mid = f.far)) AS cascada FROM w)
+        SELECT nodo, directos, cascada, CASE WHEN directos + cascada >= 8 THEN 'ALTO' WHEN directos + cascada >= 3 THEN 'MEDIO' ELSE 'BAJO' END AS nivel FROM k"""
 )
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who depends on each nation and region."""
-    return ops.blast_radius(dimension_edges(spark, sf_dir))
+    """What changes of three norms and three rulings touch."""
+    return ops.blast_radius(corpus_edges(spark, sf_dir), spark.createDataFrame([(t,) for t in _TARGETS], "nodo string"))
 
 
-@CATALOGUE.query(
-    f"""WITH RECURSIVE {_DIMENSIONS}, w AS (SELECT src AS a, dst AS b FROM d UNION SELECT dst, src FROM d),
-        t AS (SELECT 'r0' AS nodo, 0 AS distancia UNION SELECT w.b, t.distancia + 1 FROM t JOIN w ON w.a = t.nodo WHERE t.distancia < 4),
-        s AS (SELECT nodo, min(distancia) AS distancia FROM t GROUP BY nodo)
-        SELECT s.nodo, s.distancia, (SELECT min(w.a) FROM w JOIN s p ON p.nodo = w.a WHERE w.b = s.nodo AND p.distancia = s.distancia - 1) AS previo FROM s"""
-)
+def _levels_sql(seed: str, hops: int) -> str:
+    steps = [f"WITH {_BOTH}, l0 AS (SELECT '{seed}' AS nodo, CAST(NULL AS VARCHAR) AS previo)"]
+    seen = "SELECT nodo FROM l0"
+    for i in range(1, hops + 1):
+        steps.append(f"l{i} AS (SELECT b AS nodo, min(a) AS previo FROM cu WHERE a IN (SELECT nodo FROM l{i - 1}) AND b NOT IN ({seen}) GROUP BY b)")
+        seen += f" UNION ALL SELECT nodo FROM l{i}"
+    return ", ".join(steps)
+
+
+@CATALOGUE.query(_levels_sql("norma:cpr:19", 9) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT nodo, {i} AS distancia, previo FROM l{i}" for i in range(10)) + ")")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances from a region, with the way back."""
-    return ops.distances(dimension_edges(spark, sf_dir), "r0", 4)
+    """Distances from a norm, with the way back."""
+    return ops.distances(corpus_edges(spark, sf_dir), "norma:cpr:19")
+
 
+_PATHS = [("cs:1-2025", "cs:6-2021"), ("norma:cpr:19", "norma:codigo-trabajo"), ("cs:7-2024", "norma:cpr")]
 
-def _rank_sql(rounds: int, restart: str, ways: str = "e") -> str:
-    steps = [f"""WITH {_EDGES}, l AS (SELECT src, dst, CAST(sum(peso) AS DOUBLE) AS p FROM {ways} GROUP BY 1, 2), o AS (SELECT src, sum(p) AS s FROM l GROUP BY 1),
+
+def _paths_sql() -> str:
+    """Paths of up to six steps that grow as in the operator: of each node the first three stay."""
+    parts = []
+    for k, (a, b) in enumerate(_PATHS):
+        steps = [f"p{k}_0 AS (SELECT '{a}' AS nodo, ['{a}'] AS camino)"]
+        seen = f"SELECT nodo FROM p{k}_0"
+        for i in range(1, 7):
+            steps.append(f"""p{k}_{i} AS (SELECT cu.b AS nodo, list_append(p.camino, cu.b) AS camino FROM p{k}_{i - 1} p JOIN cu ON cu.a = p.nodo
+                WHERE cu.b NOT IN ({seen}) AND NOT EXISTS (SELECT 1 FROM p{k}_{i - 1} q WHERE q.nodo = '{b}')
+                QUALIFY row_number() OVER (PARTITION BY cu.b ORDER BY list_append(p.camino, cu.b)) <= 3)""")
+            seen += f" UNION ALL SELECT nodo FROM p{k}_{i}"
+        found = " UNION ALL ".join(f"SELECT camino FROM p{k}_{i} WHERE nodo = '{b}'" for i in range(1, 7))
+        steps.append(f"f{k} AS (SELECT '{a} > {b}' AS entre, camino, CAST(row_number() OVER (ORDER BY camino) AS INTEGER) AS orden FROM ({found}))")
+        parts.append(", ".join(steps))
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(len(_PATHS)))
+    return f"""WITH {_BOTH}, {", ".join(parts)}, z AS ({every}), s AS (SELECT entre, orden, camino, unnest(range(1, len(camino))) AS i FROM z),
+        t AS (SELECT entre, orden, i, coalesce((SELECT min(rel) FROM cx WHERE src = camino[i] AND dst = camino[i + 1]),
+              (SELECT 'es_' || min(rel) || '_de' FROM cx WHERE src = camino[i + 1] AND dst = camino[i])) AS r FROM s)
+        SELECT z.entre, z.orden, array_to_string(camino, ' > ') AS camino, (SELECT string_agg(r, ',' ORDER BY i) FROM t WHERE t.entre = z.entre AND t.orden = z.orden) AS relaciones FROM z"""
+
+
+@CATALOGUE.query(_paths_sql())
+def all_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three shortest ways between three pairs of nodes, with what each step says."""
+    edges = materialize(corpus_edges(spark, sf_dir))
+    parts = [ops.all_shortest_paths(edges, a, b).select(F.lit(f"{a} > {b}").alias("entre"), "orden", F.array_join("camino", " > ").alias("camino"), F.array_join("relaciones", ",").alias("relaciones")) for a, b in _PATHS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _rank_sql(rounds: int, restart: str, before: str, ways: str) -> str:
+    steps = [f"""WITH {before}, l AS (SELECT src, dst, CAST(sum(peso) AS DOUBLE) AS p FROM {ways} GROUP BY 1, 2), o AS (SELECT src, sum(p) AS s FROM l GROUP BY 1),
         v AS (SELECT src AS nodo FROM l UNION SELECT dst FROM l), z AS (SELECT count(*) AS n FROM v), b AS (SELECT nodo, {restart} AS r FROM v, z), k0 AS (SELECT nodo, r AS x FROM b)"""]
     for i in range(rounds):
         steps.append(f"""m{i} AS (SELECT coalesce(sum(x), 0) AS loose FROM k{i} WHERE nodo NOT IN (SELECT src FROM o)),
@@ -116,25 +162,33 @@ def _rank_sql(rounds: int, restart: str, ways: str = "e") -> str:
     return ", ".join(steps) + f" SELECT nodo, round(x, 10) AS puntaje FROM k{rounds}"
 
 
-@CATALOGUE.query(_rank_sql(6, "1.0::DOUBLE / n"))
+@CATALOGUE.query(_rank_sql(8, "1.0::DOUBLE / n", _CORPUS, "cx"))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PageRank of entries and what they cite, six rounds."""
-    return ops.pagerank(citation_edges(spark, sf_dir), 6).withColumn("puntaje", F.round("puntaje", 10))
+    """PageRank of the corpus, eight rounds (as many as the SQL; the operator itself stops by a tolerance)."""
+    return ops.pagerank(corpus_edges(spark, sf_dir), 8, cut=4, tolerance=None).withColumn("puntaje", F.round("puntaje", 10))
 
 
-@CATALOGUE.query(_rank_sql(4, "CASE WHEN nodo = 3 THEN 1.0::DOUBLE ELSE 0 END"))
+@CATALOGUE.query(
+    _rank_sql(
+        6, "CASE WHEN nodo IN ('cs:6-2021', 'tc:11') THEN 1.0::DOUBLE / (SELECT count(*) FROM v WHERE nodo IN ('cs:6-2021', 'tc:11')) ELSE 0 END",
+        _BOTH + """, r1 AS (SELECT unnest(['cs:6-2021', 'tc:11']) AS nodo UNION SELECT b FROM cu WHERE a IN ('cs:6-2021', 'tc:11')), r2 AS (SELECT nodo FROM r1 UNION SELECT b FROM cu WHERE a IN (SELECT nodo FROM r1))""",
+        "(SELECT a AS src, b AS dst, peso FROM cu WHERE a IN (SELECT nodo FROM r2) AND b IN (SELECT nodo FROM r2))",
+    )
+)
 def personal_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from one norm, four rounds, over edges as they point: a norm cites nothing, so it keeps all."""
-    restart = spark.createDataFrame([(3, 1.0)], "nodo long, parte double")
-    return ops.pagerank(citation_edges(spark, sf_dir), 4, restart=restart).withColumn("puntaje", F.round("puntaje", 10))
+    """PageRank from two rulings, six rounds, over edges both ways within two steps of them."""
+    seeds = spark.createDataFrame([("cs:6-2021",), ("tc:11",)], "nodo string")
+    return ops.personal_pagerank(corpus_edges(spark, sf_dir), seeds, 2, 6, tolerance=None).withColumn("puntaje", F.round("puntaje", 10))
 
 
-@CATALOGUE.query(_rank_sql(4, "CASE WHEN nodo = 3 THEN 1.0::DOUBLE ELSE 0 END", "(SELECT src, dst, peso FROM e UNION ALL SELECT dst, src, peso FROM e)"))
-def personal_pagerank_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from one norm, four rounds, over edges both ways."""
-    restart = spark.createDataFrame([(3, 1.0)], "nodo long, parte double")
-    ways = ops.undirected(citation_edges(spark, sf_dir)).withColumnsRenamed({"a": "src", "b": "dst"})
-    return ops.pagerank(ways, 4, restart=restart).withColumn("puntaje", F.round("puntaje", 10))
+@CATALOGUE.query(
+    f"""WITH {_EDGES}, b AS (SELECT src, dst, 'curado' AS capa FROM e WHERE rel = 'normas' UNION ALL SELECT src, dst, 'mapa' FROM e WHERE rel <> 'normas'),
+        x AS (SELECT src AS nodo, capa FROM b UNION ALL SELECT dst, capa FROM b) SELECT nodo, count(*) AS grado, count(*) FILTER (capa = 'curado') AS curado FROM x GROUP BY nodo"""
+)
+def curated_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees in all layers and in the curated one."""
+    e = citation_edges(spark, sf_dir).withColumn("capa", F.when(F.col("rel") == "normas", "curado").otherwise("mapa"))
+    return ops.curated_degrees(e, "capa", "curado")
 
 
 def _label_sql(rounds: int) -> str:
