@@ -79,3 +79,20 @@ def scored_labels(text: Column, keywords: dict[str, list[str]]) -> Column:
     for label, score in reversed(list(zip(keywords, scores))):
         out = F.when(score == best, label).otherwise(out)
     return F.when(best > 0, out)
+
+
+def json_leaves(text: Column, depth: int = 6) -> Column:
+    """(ruta, valor) of every leaf of a JSON object: keys joined by dots, objects opened down to ``depth``; what is no object has none.
+
+    Values that are arrays, or objects further down, stay as they are written.
+    """
+    kind = "array<struct<ruta:string,valor:string>>"
+
+    def entries(value: Column, prefix: Column) -> Column:
+        pairs = F.map_entries(F.from_json(value, "map<string,string>"))
+        return F.coalesce(F.transform(pairs, lambda p: F.struct(F.concat(prefix, p["key"]).alias("ruta"), F.coalesce(p["value"], F.lit("")).alias("valor"))), F.array().cast(kind))
+
+    out = entries(text, F.lit(""))
+    for _ in range(depth - 1):
+        out = F.flatten(F.transform(out, lambda x: F.when(F.trim(x["valor"]).startswith("{"), entries(x["valor"], F.concat(x["ruta"], F.lit(".")))).otherwise(F.array(x))))
+    return out

@@ -158,3 +158,15 @@ def merged_sources(sources: dict[str, DataFrame], key: str, content: str) -> Dat
     ranked = one.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__o", "__h")))
     name = F.when(F.col("__n") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("-"), F.substring("__h", 1, 8)))
     return ranked.select(key, content, "fuente", name.alias("nombre"))
+
+
+def filtered_or_hint(df: DataFrame, record: str, holds: Column, hint: Column) -> DataFrame:
+    """(id, aviso): the rows for which ``holds``, or one row without id whose notice lists the values of ``hint`` in order if there are none.
+
+    The values of a hint are few by nature (rooms, regions); they are distinct before they are gathered.
+    """
+    found = df.filter(F.coalesce(holds, F.lit(False))).select(F.col(record).alias("id"), F.lit(None).cast("string").alias("aviso"))
+    none = found.agg((F.count(F.lit(1)) == 0).alias("__none"))
+    values = df.select(hint.alias("v")).filter("v <> ''").distinct().agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("v"))
+    notice = values.join(F.broadcast(none)).filter("__none AND v <> ''")
+    return found.unionByName(notice.select(F.lit(None).cast(df.schema[record].dataType).alias("id"), F.concat(F.lit("disponibles: "), "v").alias("aviso")))

@@ -238,3 +238,8 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: list[float]
     """Nearest-rank percentiles: the value at ceil(share * n) in order."""
     aggs = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(q * 100)}") for q in shares]
     return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs)
+
+
+def seeded_choice(df: DataFrame, keys: list[str], record: str, seed: int) -> DataFrame:
+    """One row of each key, drawn by a hash of the record and a seed: the same for the same seed, however the rows are laid out."""
+    return first_wins(df, keys, [F.xxhash64(F.lit(seed), record), F.col(record)])

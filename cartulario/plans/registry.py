@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cartulario.plans import core_problems, graph, incremental, lookup, records, relational, scalar, search
+from cartulario.plans import core_problems, fields, graph, incremental, lookup, records, relational, scalar, search
 
-MODULES = (core_problems, scalar, relational, search, graph, incremental, records, lookup)
+MODULES = (core_problems, scalar, fields, relational, search, graph, incremental, records, lookup)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
