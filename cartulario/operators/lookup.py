@@ -10,36 +10,43 @@ from pyspark.sql import functions as F
 from cartulario.functions.text import content_words, fold, tokens
 
 
-def nearest_known(df: DataFrame, column: str, known: DataFrame, identifier: str, levels: int = 3) -> DataFrame:
+def nearest_known(df: DataFrame, column: str, known: DataFrame, identifier: str) -> DataFrame:
     """Rows with ``resuelto``, the identifier itself or its nearest ancestor that is known, and ``nivel``, how far up it is.
 
-    An identifier's ancestors are what is left of it without its last parts. Unknown ones get nulls.
+    An identifier's ancestors are what is left of it without its last parts, all the way up. Unknown ones get nulls.
     """
-    chain = [F.col(column)]
-    for _ in range(levels):
-        chain.append(F.regexp_replace(chain[-1], ":[^:]*$", ""))
-    ids = df.select(column).distinct().select(column, F.posexplode(F.array_distinct(F.array(*chain))).alias("nivel", "__id"))
+    parts = F.split(F.col(column), ":")
+    up = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ":"))
+    ids = df.select(column).distinct().filter(F.col(column).isNotNull()).select(column, F.posexplode(up).alias("nivel", "__id"))
     hit = ids.join(known.select(F.col(identifier).alias("__id")).distinct(), "__id", "left_semi")
     best = hit.groupBy(column).agg(F.min(F.struct("nivel", "__id")).alias("__b"))
     return df.join(best, column, "left").select(*df.columns, F.col("__b.__id").alias("resuelto"), F.col("__b.nivel").alias("nivel"))
 
 
+def article_key(text: Column) -> Column:
+    """An article's number as it is looked up: folded, without "artículo" before it and signs after it, single blanks."""
+    bare = F.regexp_replace(fold(F.trim(text)), r"^(?:articulos?|arts?\.?)\s*(?:n[°º]\s*)?", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[°º]|[.,;:\s-]+$", ""), r"\s+", " "))
+
+
 def tiered_articles(df: DataFrame, record: str, key: str, text: str, wanted: list[str]) -> DataFrame:
-    """(pedido, id, grado): for each wanted article key the rows of its best tier.
+    """(pedido, id, grado): for each wanted article key the row of its best tier, of several the one of smallest id.
 
-    Tier 4: the key is the same; 3: it begins with the wanted one and a blank; 2: it begins
-    with it; 1: the text speaks of "artículo N". Ties within a tier are all kept. One pass over the rows.
+    Keys are compared as ``article_key`` has them. Tier 4: the key is the same; 3: it begins with
+    the wanted one and a blank; 2: it begins with it; 1: the text speaks of "artículo N". One pass
+    over the rows; what is asked for, and the one row a key that comes out, bound what is shuffled.
     """
-    k, t = fold(F.trim(F.col(key))), fold(F.col(text))
+    k, t = article_key(F.col(key)), fold(F.col(text))
 
-    def graded(w: Column) -> Column:
+    def graded(asked: Column) -> Column:
+        w = article_key(asked)
         tier = F.when(k == w, 4).when(F.startswith(k, F.concat(w, F.lit(" "))), 3).when(F.startswith(k, w), 2).when(F.contains(t, F.concat(F.lit("articulo "), w)), 1)
-        return F.struct(w.alias("pedido"), tier.alias("grado"))
+        return F.struct(asked.alias("pedido"), tier.alias("grado"))
 
-    asked = F.array(*[F.lit(w.strip().lower()) for w in dict.fromkeys(wanted)])
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(wanted)])
     found = df.select(F.col(record).alias("id"), F.inline(F.filter(F.transform(asked, graded), lambda x: x["grado"].isNotNull())))
-    best = found.groupBy("pedido").agg(F.max("grado").alias("__g"))
-    return found.join(F.broadcast(best), "pedido").filter(F.col("grado") == F.col("__g")).select("pedido", "id", "grado")
+    best = found.groupBy("pedido").agg(F.min(F.struct((-F.col("grado")).alias("g"), "id")).alias("b"))
+    return best.select("pedido", F.col("b.id").alias("id"), (-F.col("b.g")).alias("grado"))
 
 
 def carried_forward(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:

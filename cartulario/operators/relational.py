@@ -243,3 +243,18 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: list[float]
 def seeded_choice(df: DataFrame, keys: list[str], record: str, seed: int) -> DataFrame:
     """One row of each key, drawn by a hash of the record and a seed: the same for the same seed, however the rows are laid out."""
     return first_wins(df, keys, [F.xxhash64(F.lit(seed), record), F.col(record)])
+
+
+def tiered(df: DataFrame, tier: str, order: list[Column]) -> DataFrame:
+    """Rows of a tier over 0 with their place within it (``lugar``, from 1) by the given order, which must be total.
+
+    Places come from ranges of (tier, order) moved up by counts, so a tier of most rows is no single task.
+    """
+    kept = df.filter(F.col(tier) > 0)
+    parts = kept.repartitionByRange(F.col(tier), *order).withColumn("__part", F.spark_partition_id())
+    sizes = parts.groupBy(tier, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(tier).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select(F.col(tier).alias("__t"), F.col("__part").alias("__p"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inner = parts.withColumn("__in", F.row_number().over(Window.partitionBy(tier, "__part").orderBy(*order)))
+    out = inner.join(moved, (F.col(tier) == F.col("__t")) & (F.col("__part") == F.col("__p")))
+    return out.select(*df.columns, (F.col("__in") + F.col("__before")).cast("int").alias("lugar"))

@@ -142,7 +142,7 @@ def set_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return halves.select("origen", F.size(both).alias("cuantos"), F.md5(F.array_join(F.array_sort(both.cast("array<long>")).cast("array<string>"), ",")).alias("lista"))
 
 
-@CATALOGUE.query(f"SELECT doc_id FROM documents WHERE regexp_matches({fold_sql('text')}, '(^|[^a-z0-9_])corte\\s+suprema($|[^a-z0-9_])')")
+@CATALOGUE.query(f"SELECT doc_id FROM documents WHERE regexp_matches({fold_sql('text')}, '(^|[^a-z0-9_])por\\s+escrito($|[^a-z0-9_])')")
 def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which two words stand as a phrase of whole words."""
     return table(spark, sf_dir, "documents").filter(fields.whole_phrase(F.col("text"), "Por escrito")).select("doc_id")

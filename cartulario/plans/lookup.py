@@ -30,17 +30,24 @@ def nearest_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of norms resolved to the nearest identifier that is known."""
     ref = table(spark, sf_dir, "referencia")
     wanted = ref.filter("id LIKE 'norma:%'").select("n", F.concat("id", F.lit(":"), (F.col("n") % 3).cast("string")).alias("pedido"))
-    return lookup.nearest_known(wanted, "pedido", ref, "id", 2)
+    return lookup.nearest_known(wanted, "pedido", ref, "id")
+
+
+def _key_sql(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({fold_sql(f'trim({text})')}, '^(articulos?|arts?\\.?)\\s*(n[°º]\\s*)?', ''), '[°º]|[.,;:\\s-]+$', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+_WANTED = ["Artículo 12.-", "528", "art. 802", "1958 bis", "19", "99999"]
 
 
 @CATALOGUE.query(
-    f"""WITH a AS (SELECT id, {fold_sql("trim(articulo_id)")} AS k, {fold_sql("texto")} AS t FROM articulos_vectorial), w AS (SELECT unnest(['12', '528', '802', '1958 bis', '99999']) AS pedido),
-        g AS (SELECT pedido, id, CASE WHEN k = pedido THEN 4 WHEN starts_with(k, pedido || ' ') THEN 3 WHEN starts_with(k, pedido) THEN 2 WHEN contains(t, 'articulo ' || pedido) THEN 1 END AS grado FROM a, w)
-        SELECT pedido, id, grado FROM g WHERE grado IS NOT NULL QUALIFY grado = max(grado) OVER (PARTITION BY pedido)"""
+    f"""WITH a AS (SELECT id, {_key_sql("articulo_id")} AS k, {fold_sql("texto")} AS t FROM articulos_vectorial), w AS (SELECT pedido, {_key_sql("pedido")} AS q FROM (SELECT unnest({_WANTED}) AS pedido)),
+        g AS (SELECT pedido, id, CASE WHEN k = q THEN 4 WHEN starts_with(k, q || ' ') THEN 3 WHEN starts_with(k, q) THEN 2 WHEN contains(t, 'articulo ' || q) THEN 1 END AS grado FROM a, w)
+        SELECT pedido, id, grado FROM g WHERE grado IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pedido ORDER BY grado DESC, id) = 1"""
 )
 def tiered_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles asked for by number, by the best way that finds any."""
-    return lookup.tiered_articles(table(spark, sf_dir, "articulos_vectorial"), "id", "articulo_id", "texto", ["12", "528", "802", "1958 bis", "99999"])
+    """Articles asked for by number in several ways of writing, by the best way that finds any."""
+    return lookup.tiered_articles(table(spark, sf_dir, "articulos_vectorial"), "id", "articulo_id", "texto", _WANTED)
 
 
 @CATALOGUE.query(

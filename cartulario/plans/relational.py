@@ -369,14 +369,15 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CATALOGUE.query(
-    """WITH t AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'brand' THEN 4 WHEN starts_with(lower(p_name), 'brand') THEN 3 WHEN contains(lower(p_name), 'a') THEN 2 ELSE 0 END AS nivel FROM part)
-       SELECT p_partkey, p_name, nivel FROM t WHERE nivel > 0"""
+    """WITH t AS (SELECT id, era_ AS era, CASE WHEN r = '7-2024' THEN 3 WHEN contains(c, 'jorquiel con') THEN 2 WHEN contains(c, 'jorquiel') OR contains(c, 'yarzabel') THEN 1 ELSE 0 END AS nivel
+                  FROM (SELECT n AS id, coalesce(era, 0) AS era_, trim(rol) AS r, lower(titulo) AS c FROM entrada))
+       SELECT id, nivel, CAST(row_number() OVER (PARTITION BY nivel ORDER BY era DESC, id) AS INTEGER) AS lugar FROM t WHERE nivel > 0"""
 )
 def tiered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts by how closely their name fits what is looked for."""
-    name = F.lower("p_name")
-    tier = F.when(name == "brand", 4).when(name.startswith("brand"), 3).when(name.contains("a"), 2).otherwise(0)
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", tier.alias("nivel")).filter("nivel > 0")
+    """Entries by how closely they fit what is looked for: the role, a phrase of the title, one of its words; the later first within each."""
+    e = table(spark, sf_dir, "entrada").select(F.col("n").alias("id"), F.coalesce("era", F.lit(0)).alias("era"), F.trim("rol").alias("r"), F.lower("titulo").alias("c"))
+    tier = F.when(F.col("r") == "7-2024", 3).when(F.contains("c", F.lit("jorquiel con")), 2).when(F.contains("c", F.lit("jorquiel")) | F.contains("c", F.lit("yarzabel")), 1).otherwise(0)
+    return ops.tiered(e.withColumn("nivel", tier), "nivel", [F.desc("era"), F.col("id")]).select("id", "nivel", "lugar")
 
 
 @CATALOGUE.query(

@@ -36,27 +36,33 @@ def fn_git_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.git_blob_id(F.col("text")).alias("blob"))
 
 
-_ISO = """CASE WHEN regexp_matches(f, '^\\d{4}-\\d{1,2}-\\d{1,2}(\\D|$)') THEN try_strptime(regexp_extract(f, '^\\d{4}-\\d{1,2}-\\d{1,2}'), '%Y-%m-%d')
-               WHEN regexp_matches(f, '^\\d{1,2}[-/.]\\d{1,2}[-/.]\\d{4}$') THEN try_strptime(regexp_replace(f, '[/.]', '-', 'g'), '%d-%m-%Y') END"""
+#: Every stretch that may be a date, in order, each tried in the three ways; the first that is one within the years counts.
+_MONTH = "list_position(['" + "','".join(dates.MONTHS) + "'], regexp_extract(c, ' de ([a-z]+) ', 1))"
+_TRIED = f"""CASE WHEN regexp_matches(c, '^\\d{{4}}[-/.]') THEN try_strptime(regexp_replace(c, '[/.]', '-', 'g'), '%Y-%m-%d')
+        WHEN regexp_matches(c, '^\\d{{1,2}}[-/.]') THEN try_strptime(regexp_replace(c, '[/.]', '-', 'g'), '%d-%m-%Y')
+        ELSE try_strptime(right(c, 4) || '-' || {_MONTH} || '-' || regexp_extract(c, '^\\d+'), '%Y-%m-%d') END"""
+_STRETCH = "\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2}|\\d{1,2}[-/.]\\d{1,2}[-/.]\\d{4}|\\d{1,2}\\s*[°º]?\\s+de\\s+[a-z]+\\s+del?\\s+\\d{4}"
 
 
 @CATALOGUE.query(
-    f"""WITH x AS (SELECT 'entrada' AS tabla, n AS id, lower(trim(fecha)) AS f FROM entrada
-                  UNION ALL SELECT 'sentencias_judiciales', id, lower(trim(fecha)) FROM sentencias_judiciales
-                  UNION ALL SELECT 'documents', doc_id, lower(trim(fecha)) FROM documents)
-        SELECT tabla, id, strftime({_ISO}, '%Y-%m-%d') AS fecha FROM x"""
+    f"""WITH x AS (SELECT 'entrada' AS tabla, n AS id, lower(fecha) AS f FROM entrada
+                  UNION ALL SELECT 'sentencias_judiciales', id, lower(fecha) FROM sentencias_judiciales
+                  UNION ALL SELECT 'documents', doc_id, lower(fecha) FROM documents
+                  UNION ALL SELECT 'texto', id, 'nº 45-6: en talca, a ' || coalesce(lower(fecha), '31/02/2020') || ' y 1° de enero del 2020' FROM sentencias_judiciales)
+        SELECT tabla, id, strftime(list_filter(list_transform(regexp_extract_all(f, '{_STRETCH}'), lambda c: {_TRIED}), lambda d: d IS NOT NULL AND year(d) BETWEEN 1900 AND 2100)[1], '%Y-%m-%d') AS fecha FROM x"""
 )
 def fn_iso_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of three tables in one form."""
-    parts = []
+    """Dates of three tables in one form, and dates amid other words."""
+    within = F.concat(F.lit("N° 45-6: en Talca, a "), F.coalesce("fecha", F.lit("31/02/2020")), F.lit(" y 1° de enero del 2020"))
+    parts = [table(spark, sf_dir, "sentencias_judiciales").select(F.lit("texto").alias("tabla"), "id", dates.iso_date(within).alias("fecha"))]
     for name, key in (("entrada", "n"), ("sentencias_judiciales", "id"), ("documents", "doc_id")):
         parts.append(table(spark, sf_dir, name).select(F.lit(name).alias("tabla"), F.col(key).alias("id"), dates.iso_date(F.col("fecha")).alias("fecha")))
-    return parts[0].union(parts[1]).union(parts[2])
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @CATALOGUE.query(
     """SELECT o_orderkey, CAST((SELECT count(*) FROM range(o_orderdate::DATE + INTERVAL 1 DAY, o_orderdate::DATE + INTERVAL (o_orderkey % 40 + 1) DAY, INTERVAL 1 DAY) r(d)
-                         WHERE dayofweek(d) NOT IN (0, 6)) AS INTEGER) AS habiles FROM orders"""
+                         WHERE dayofweek(d) NOT IN (0, 6) AND month(d) * 100 + day(d) NOT IN (101, 501, 521, 620, 716, 815, 918, 919, 1031, 1101, 1208, 1225)) AS INTEGER) AS habiles FROM orders"""
 )
 def fn_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Working days within a term that depends on the order."""

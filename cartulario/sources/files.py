@@ -28,6 +28,11 @@ def inventory(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ())
     return out
 
 
+def _file_path(uri: Column) -> Column:
+    """A path without its scheme and doubled slashes, blanks and other signs as they are: two ways to name one file agree, two files never do."""
+    return F.regexp_replace(F.url_decode(F.replace(F.regexp_replace(uri, "^[a-z0-9]+:/+", "/"), F.lit("+"), F.lit("%2B"))), "/+", "/")
+
+
 def json_lines(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     """Rows of line-delimited JSON files, plain or gzipped, with ``archivo``, ``orden`` (of the path in the list), ``linea`` and ``mala``.
 
@@ -37,7 +42,7 @@ def json_lines(spark: SparkSession, paths: list[str], schema: T.StructType) -> D
     raw = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("archivo"), F.monotonically_increasing_id().alias("linea"))
     order = F.lit(len(paths))
     for i, p in reversed(list(enumerate(paths))):
-        order = F.when(F.col("archivo").endswith(p), i).otherwise(order)
+        order = F.when(_file_path(F.col("archivo")) == _file_path(F.lit(p)), i).otherwise(order)
     lines = raw.filter(F.trim("value") != "").withColumn("orden", order)
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = lines.withColumn("__r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
@@ -116,6 +121,13 @@ def node_link_graph(spark: SparkSession, path: str, node: T.StructType, edge: T.
     return raw.select(F.inline("nodes")), raw.select(F.inline(F.coalesce("edges", "links")))
 
 
+def _unescaped(text: Column) -> Column:
+    """The five named entities of XML as characters, the ampersand last."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return text
+
+
 def law_xml(xml: Column) -> Column:
     """(titulo, organismo, numero, articulos) of a law in XML, prefixes aside: first of several places for each, parts as (tipo, id, texto)."""
     bare = F.regexp_replace(F.regexp_replace(xml, r"<(/?)[A-Za-z0-9_]+:", "<$1"), r"\sxmlns(?::\w+)?=\"[^\"]*\"", "")
@@ -123,10 +135,12 @@ def law_xml(xml: Column) -> Column:
     def first(*paths: str) -> Column:
         return F.coalesce(*[F.nullif(F.trim(F.xpath_string(bare, F.lit(p))), F.lit("")) for p in paths])
 
-    kinds = F.xpath(bare, F.lit("//EstructuraFuncional/@tipoParte"))
-    ids = F.xpath(bare, F.lit("//EstructuraFuncional/@idParte"))
-    texts = F.xpath(bare, F.lit("//EstructuraFuncional/Texto/text()"))
-    parts = F.transform(F.arrays_zip(kinds.alias("t"), ids.alias("i"), texts.alias("x")), lambda p: F.struct(p["t"].alias("tipo"), p["i"].alias("id"), F.trim(p["x"]).alias("texto")))
+    # Cut at each opening of a part, so that a part without a text takes none from the next; a part's own text stands before the parts in it.
+    pieces = F.slice(F.split(bare, r"(?=<EstructuraFuncional\b)"), 2, 1_000_000_000)
+    tag = lambda p, name: F.nullif(F.regexp_extract(p, rf"^<EstructuraFuncional\b[^>]*\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    own = lambda p: F.regexp_extract(p, r"(?s)<Texto\b[^>/]*>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</Texto>", 1)
+    text = lambda p: F.when(p.rlike(r"<Texto\b[^>/]*>"), F.trim(_unescaped(F.regexp_replace(own(p), "<[^>]*>", ""))))
+    parts = F.transform(pieces, lambda p: F.struct(tag(p, "tipoParte").alias("tipo"), tag(p, "idParte").alias("id"), text(p).alias("texto")))
     return F.struct(
         first("//Metadatos/TituloNorma", "//Encabezado/Titulo", "//Titulo").alias("titulo"), first("//Organismo", "//OrganismosEmisores/Organismo").alias("organismo"),
         first("//Identificador/Numero", "//Numero").alias("numero"), parts.alias("articulos"),

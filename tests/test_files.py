@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 import os
 import zipfile
@@ -20,7 +21,7 @@ def test_inventory_and_markdown(spark, tmp_path):
     (tmp_path / "README.md").write_text("r")
     inv = {r.ruta: (r.blob, r.bytes) for r in src.inventory(spark, str(tmp_path), ("raw/",)).collect()}
     assert set(inv) == {"a/uno-dos.md", "a/tres.md", "README.md"}
-    assert inv["a/uno-dos.md"] == ("8ff3f70241f55eb8f3c90e61d88f0c97c9ac8ad8", 11) or len(inv["a/uno-dos.md"][0]) == 40
+    assert inv["a/uno-dos.md"] == (hashlib.sha1(b"blob 11\0hola mundo\n").hexdigest(), 11)
     tree = {r.ruta: r for r in src.markdown_tree(spark, str(tmp_path), ("README.md", "raw")).collect()}
     assert set(tree) == {"a/uno-dos.md", "a/tres.md"}
     assert (tree["a/uno-dos.md"].titulo, tree["a/uno-dos.md"].categoria, tree["a/uno-dos.md"].palabras) == ("Uno Dos", "a", 2)
@@ -36,6 +37,11 @@ def test_json_lines_with_precedence(spark, tmp_path):
     assert rows.filter("mala IS NOT NULL").count() == 2
     first = {r.rol: r.t for r in src.first_by_precedence(rows, ["rol"]).collect()}
     assert first == {"1": "x", "3": None}
+    (tmp_path / "x").mkdir()
+    inner = tmp_path / "x" / "a.jsonl"
+    inner.write_text('{"rol": "1", "t": "otro"}\n')
+    again = src.first_by_precedence(src.json_lines(spark, [str(inner), str(a)], schema), ["rol"]).collect()
+    assert {r.rol: r.t for r in again} == {"1": "otro"}
 
 
 def test_heads(spark):
@@ -58,6 +64,9 @@ def test_graph_xml_html(spark, tmp_path):
     xml = '<n:Norma xmlns:n="urn:x"><n:Metadatos><n:TituloNorma> Ley de aguas </n:TituloNorma></n:Metadatos><n:EstructuraFuncional tipoParte="Artículo" idParte="1"><n:Texto> Uno </n:Texto></n:EstructuraFuncional></n:Norma>'
     law = spark.createDataFrame([(xml,)], "x string").select(src.law_xml(F.col("x")).alias("l")).first().l
     assert law.titulo == "Ley de aguas" and law.organismo is None and [tuple(a) for a in law.articulos] == [("Artículo", "1", "Uno")]
+    parts = "<N>" + '<E tipoParte="Título" idParte="9">' + '<E tipoParte="Artículo" idParte="1"/>' + '<E idParte="2" tipoParte="Artículo"><Texto>Dos &amp;lt; &lt;b&gt;</Texto></E><E tipoParte="Artículo" idParte="3"><Texto/></E><E tipoParte="Artículo" idParte="4"><Texto><![CDATA[Cuatro]]></Texto></E></E></N>'
+    law = spark.createDataFrame([(parts.replace("<E ", "<EstructuraFuncional ").replace("</E>", "</EstructuraFuncional>"),)], "x string").select(src.law_xml(F.col("x")).alias("l")).first().l
+    assert [tuple(a) for a in law.articulos] == [("Título", "9", None), ("Artículo", "1", None), ("Artículo", "2", "Dos &lt; <b>"), ("Artículo", "3", None), ("Artículo", "4", "Cuatro")]
     html = "<table><tr><th>N°</th></tr><tr><td> <b>12</b>&nbsp;</td><td><a href='/x/1.pdf'>Res&oacute;l</a></td></tr><tr><td> </td></tr></table>"
     rows = spark.createDataFrame([(html,)], "h string").select(F.inline(src.html_rows(F.col("h")))).collect()
     assert [(r.celdas, r.enlace) for r in rows] == [(["N°"], None), (["12", "Resól"], "/x/1.pdf")]

@@ -23,7 +23,10 @@ def test_ids(spark):
 
 
 def test_dates(spark):
-    cases = {"2024-02-30": None, "5/3/2021": "2021-03-05", "05-03-2021": "2021-03-05", "3 de marzo de 2020": "2020-03-03", "2020-01-02T10:00": "2020-01-02", "": None, "s/i": None, "1899-01-01": None, "2 de brumario de 2000": None}
+    cases = {"2024-02-30": None, "5/3/2021": "2021-03-05", "05-03-2021": "2021-03-05", "3 de marzo de 2020": "2020-03-03", "2020-01-02T10:00": "2020-01-02", "": None, "s/i": None, "1899-01-01": None, "2 de brumario de 2000": None,
+        "Santiago, 3 de mayo de 2020": "2020-05-03", "1° de enero del 2020": "2020-01-01", "publicado el 2020-05-03": "2020-05-03", "03-05-2020 (rectificado)": "2020-05-03",
+        "31/02/2020 y luego 2 de abril de 2021": "2021-04-02", "rol 12020-05-034": None, "1 de setiembre": None,
+    }
     df = spark.createDataFrame([(k,) for k in cases], "x string")
     assert {r.x: r.y for r in df.select("x", dates.iso_date(F.col("x")).alias("y")).collect()} == cases
 
@@ -57,3 +60,12 @@ def test_segments(spark):
     spans = [(0, 5), (3, 9), (5, 6), (5, 8), (8, 9)]
     df = spark.createDataFrame([(spans,)], "s array<struct<desde:int,hasta:int>>")
     assert [tuple(x) for x in df.select(segments.kept_spans(F.col("s")).alias("k")).first().k] == [(0, 5), (5, 8), (8, 9)]
+
+
+def test_working_days_leave_out_holidays(spark):
+    import datetime as dt
+
+    days = [(dt.date(2026, 9, 16), dt.date(2026, 9, 21)), (dt.date(2026, 1, 1), dt.date(2026, 1, 1)), (dt.date(2026, 4, 30), dt.date(2026, 5, 4)), (dt.date(2026, 5, 4), dt.date(2026, 4, 1))]
+    df = spark.createDataFrame(days, "a date, b date")
+    got = df.select(dates.business_days(F.col("a"), F.col("b")).alias("x"), dates.business_days(F.col("a"), F.col("b"), saturdays=True).alias("y")).collect()
+    assert [tuple(r) for r in got] == [(2, 2), (0, 0), (1, 2), (0, 0)]
