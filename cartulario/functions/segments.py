@@ -38,15 +38,15 @@ def paragraphs(df: DataFrame, record: str, text: str) -> DataFrame:
 
 def articles(df: DataFrame, record: str, text: str, most: int = 12_000) -> DataFrame:
     """(id, orden, numero, texto): running text of a law cut at its article headings, each part at most ``most`` characters long."""
-    pieces = F.split(F.col(text), r"(?im)^(?=art(?:[íi]culo|\.)\s+\d+)")
+    pieces = F.split(F.col(text), r"(?imu)^(?=art(?:[íi]culo|\.)\s+\d+)")
     flat = df.select(F.col(record).alias("id"), F.posexplode(pieces).alias("orden", "p"))
-    number = F.regexp_extract("p", r"(?i)\Aart(?:[íi]culo|\.)\s+(\d+)", 1)
+    number = F.regexp_extract("p", r"(?iu)\Aart(?:[íi]culo|\.)\s+(\d+)", 1)
     return flat.filter(number != "").select("id", "orden", number.alias("numero"), F.substring("p", 1, most).alias("texto"))
 
 
 def article_mentions(df: DataFrame, record: str, text: str) -> DataFrame:
     """(id, codigo, articulo, veces): articles of codes that prose refers to, "artículo 12 del Código Penal"."""
-    pattern = r"(?i)art[íi]culos?\s+(\d+)\s+del\s+(código\s+(?:de\s+)?\p{L}+(?:\s+de\s+\p{L}+)?|cpr)"
+    pattern = r"(?iu)art[íi]culos?\s+(\d+)\s+del\s+(código\s+(?:de\s+)?\p{L}+(?:\s+de\s+\p{L}+)?|cpr)"
     text = F.col(text)
     numbers, names = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
     zipped = F.arrays_zip(numbers.alias("articulo"), names.alias("codigo"))

@@ -91,5 +91,5 @@ def heading_like(line: Column) -> Column:
     s = F.trim(line)
     letters = F.regexp_replace(s, r"[^\p{L}]", "")
     upper = F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
-    keyed = s.rlike(r"(?i)^(?:#+ |cap[íi]tulo |t[íi]tulo |secci[óo]n |libro |art[íi]culo |[ivxlc]+\.|\d+[.)])")
+    keyed = s.rlike(r"(?iu)^(?:#+ |cap[íi]tulo |t[íi]tulo |secci[óo]n |libro |art[íi]culo |[ivxlc]+\.|\d+[.)])")
     return F.length(s).between(4, 110) & ~s.rlike(r"[.;:,]$") & (keyed | ((F.length(letters) > 0) & (upper * 10 > F.length(letters) * 8)))
