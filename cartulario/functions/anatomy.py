@@ -85,7 +85,7 @@ def supreme_row(text: Column) -> Column:
     m = bullets(text)
     value = lambda *names: F.coalesce(*[F.when(~F.trim(m[n]).isin("", "-", "—", "–"), F.trim(m[n])) for n in names])
     role = _bare_role(value("rol"))
-    people = F.filter(F.transform(F.split(F.coalesce(value("ministros", "integración"), F.lit("")), r"\s*[,;]\s*"), F.trim), lambda x: x != "")
+    people = F.filter(F.transform(F.split(F.coalesce(value("ministros", "integración"), F.lit("")), r"\s*[,;]\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(
         role.alias("rol"), F.coalesce(value("era").try_cast("int"), F.regexp_extract(role, r"-(\d{4})$", 1).try_cast("int")).alias("era"), iso_date(value("fecha")).alias("fecha"), value("sala").alias("sala"),
         value("recurso").alias("recurso"), value("resultado").alias("resultado"), value("tribunal de origen").alias("origen"), people.alias("ministros"),

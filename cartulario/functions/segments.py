@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,15 +57,17 @@ def article_mentions(df: DataFrame, record: str, text: str) -> DataFrame:
 def without_running_lines(df: DataFrame, record: str, text: str, times: int = 6) -> DataFrame:
     """(id, texto): texts without lines of 6 to 89 characters that stand in them at least ``times`` times, and without lone page numbers.
 
-    Lines are counted by text and line, then put together again by text. ``record`` is unique;
-    null texts give no row, a text of which nothing stays comes out empty.
+    All is within a row, so nothing is shuffled: the sorted lines of a text bring equal ones
+    together, and those that stand ``times`` apart in that order are the running ones. Null texts
+    give no row, a text of which nothing stays comes out empty.
     """
-    lines = df.select(F.col(record).alias("id"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("n", "l"))
-    marked = lines.withColumn("__times", F.count(F.lit(1)).over(Window.partitionBy("id", F.trim("l"))))
-    runs = F.length(F.trim("l")).between(6, 89) & (F.col("__times") >= times)
-    stays = ~runs & ~F.col("l").rlike(r"^\s*\d{1,4}\s*$")
-    kept = F.collect_list(F.when(stays, F.struct("n", "l")))
-    return marked.groupBy("id").agg(F.array_join(F.transform(F.array_sort(kept), lambda x: x["l"]), "\n").alias("texto"))
+    slim = df.select(F.col(record).alias("id"), F.split(F.col(text), r"\r?\n").alias("l")).filter("l IS NOT NULL")
+    # Through a generator, so that the lines are sorted once.
+    ordered = slim.select("id", "l", F.explode(F.array(F.array_sort(F.transform("l", lambda x: F.trim(x))))).alias("s"))
+    runs = F.array_distinct(F.filter("s", lambda x, i: F.length(x).between(6, 89) & (F.get("s", i + times - 1) == x)))
+    found = ordered.select("id", "l", F.explode(F.array(runs)).alias("r"))
+    stays = F.filter("l", lambda x: ~F.array_contains("r", F.trim(x)) & ~x.rlike(r"^\s*\d{1,4}\s*$"))
+    return found.select("id", F.array_join(stays, "\n").alias("texto"))
 
 
 def kept_spans(spans: Column) -> Column:

@@ -235,9 +235,13 @@ def index_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at ceil(share * n) in order."""
-    aggs = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(q * 100)}") for q in shares]
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    """Nearest-rank percentiles: the value at ceil(share * n) in order, at least the first.
+
+    Places come from ``ranked_in_parts``, so a key with most of the rows holds them in no single task.
+    """
+    ranked = ranked_in_parts(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value)
+    at = lambda q: F.greatest(F.ceil(F.col("__n") * q), F.lit(1)) - 1
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("__i") == at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in shares])
 
 
 def seeded_choice(df: DataFrame, keys: list[str], record: str, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulario.functions.text import fold, tokens
@@ -97,6 +97,43 @@ def substring_search(df: DataFrame, record: str, text: str, needles: list[str])
     return df.select(F.col(record).alias("doc"), F.explode(held).alias("aguja"))
 
 
+#: Buckets of a written index: a query reads those of its terms only.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(index: DataFrame, term: str, record: str, folder: str) -> None:
+    """An index of terms (postings or trigrams) as Parquet files by bucket of the term, sorted by term within each file.
+
+    A bucket is cut into as many files as tasks hold its rows: rows are spread by term and
+    record, so a term of most rows is written by many tasks.
+    """
+    cut = index.withColumn("cubo", _bucket(F.col(term))).withColumn("__part", F.pmod(F.xxhash64(record), F.lit(8)))
+    spread_ = cut.repartition("cubo", "__part").sortWithinPartitions("cubo", term, record).drop("__part")
+    spread_.write.mode("overwrite").partitionBy("cubo").parquet(folder)
+
+
+def indexed_rows(spark: SparkSession, folder: str, term: str, terms: list[str]) -> DataFrame:
+    """The rows of a written index for some terms: other buckets are not opened, and of the files' row groups only those whose terms fit."""
+    wanted = list(dict.fromkeys(terms))
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(_bucket(F.col("t"))).distinct().collect()] if wanted else []
+    return spark.read.parquet(folder).filter(F.col("cubo").isin(*buckets) & F.col(term).isin(*wanted)).drop("cubo")
+
+
+def indexed_substring(spark: SparkSession, folder: str, texts: DataFrame, record: str, text: str, needle: str) -> DataFrame:
+    """(doc) of the texts that hold a needle of at least three letters, folded: candidates hold all of its trigrams by the index, and only they are read and verified."""
+    grams = [r.g for r in spark.createDataFrame([(needle,)], "n string").select(F.explode(trigrams(F.col("n"))).alias("g")).collect()]
+    if not grams:
+        raise ValueError("a needle has at least three letters")
+    rows = indexed_rows(spark, folder, "trigrama", grams)
+    held = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)).select("doc")
+    near = texts.select(F.col(record).alias("doc"), F.col(text).alias("__t")).join(held, "doc")
+    return near.filter(F.contains(fold("__t"), fold(F.lit(needle)))).select("doc").distinct()
+
+
 def dense_top(queries: DataFrame, base: DataFrame, record: str, vector: str, k: int, block: int = 2048) -> DataFrame:
     """The ``k`` base vectors of highest cosine for each query: (consulta, doc, coseno, rango), exact.
 

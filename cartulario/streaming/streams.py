@@ -61,10 +61,15 @@ def last_samples(stream: DataFrame, key: str, value: str, most: int) -> DataFram
 def run_to_end(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and returns its last complete result.
 
-    The result goes to the shared checkpoint folder batch by batch, not to the driver.
+    The result goes to the shared checkpoint folder batch by batch, not to the driver; only
+    where all runs on one machine, as in tests, is a temporary folder made.
     """
     spark = result.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartulario-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cartulario-stream-")
     out, state = (f"{base}/stream-{uuid.uuid4().hex}-{part}" for part in ("out", "state"))
     schema = result.schema
 
