@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartulario.llm.bpe import count_tokens, encode_texts
 from cartulario.llm.canonical import map_to_canonical
-from cartulario.llm.chunking import split_oversized
+from cartulario.llm.chunking import split_oversized, unit_count
 from cartulario.llm.mixture import mix_sources, scheduled_shares
 from cartulario.llm.neighbours import nearest, set_aside
 from cartulario.llm.readability import reading_levels
@@ -40,6 +40,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_trozos(spark, sf_dir).filter((F.col("pieza") == 1) & (F.col("piezas") > 1)).select("tabla", "campo", "id")
 
 
+def p1_cobertura(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each text that was cut whether its pieces make it up again, keep the limit, and share no more than the overlap."""
+    pieces = p1_trozos(spark, sf_dir)
+    parts = []
+    for limit in _limits(spark, sf_dir):
+        size = lambda c, unit=limit.unidad: unit_count(c, unit)
+        own = pieces.filter((F.col("tabla") == limit.tabla) & (F.col("campo") == limit.campo))
+        keeps = (size(F.col("texto")) <= limit.maximo) & (size(F.left("texto", F.col("solape"))) <= limit.solape)
+        # Pieces of a text of the largest size go through one state each; digests of cores are put together in order, not the texts.
+        by_text = own.groupBy("tabla", "campo", "id").agg(
+            F.every(keeps).alias("dentro"), F.max("piezas").alias("piezas"), F.count(F.lit(1)).alias("filas"), F.sum(F.length("texto") - F.col("solape")).alias("largo"), F.max("hasta").alias("hasta"),
+            F.array_sort(F.collect_list(F.struct("pieza", F.substr("texto", F.col("solape") + 1).alias("t")))).alias("c"),
+        )
+        whole = table(spark, sf_dir, limit.tabla).select("id", F.md5(limit.campo).alias("__md5"), F.length(limit.campo).alias("__largo"))
+        joined = by_text.join(whole, "id").withColumn("__again", F.md5(F.array_join(F.transform("c", lambda x: x["t"]), "")))
+        rebuilt = (F.col("__again") == F.col("__md5")) & (F.col("largo") == F.col("__largo")) & (F.col("hasta") == F.col("__largo")) & (F.col("filas") == F.col("piezas"))
+        parts.append(joined.select("tabla", "campo", "id", rebuilt.alias("entero"), "dentro"))
+    if not parts:
+        return spark.createDataFrame([], "tabla string, campo string, id long, entero boolean, dentro boolean")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def p3_vecinos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar vectors of every usable vector."""
     return nearest(table(spark, sf_dir, "articulos_vectorial"), per_cell=600)
@@ -110,7 +135,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_niveles(spark, sf_dir).select("doc_id", "nivel")
 
 
-QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p6_found": p6_found, "p6_textos": p6_textos, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla, "p9_found": p9_found, "p9_niveles": p9_niveles}
+QUERIES = {"p1_found": p1_found, "p1_trozos": p1_trozos, "p1_cobertura": p1_cobertura, "p3_found": p3_found, "p3_vecinos": p3_vecinos, "p3_apartados": p3_apartados, "p4_found": p4_found, "p4_valores": p4_valores, "p6_found": p6_found, "p6_textos": p6_textos, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cuotas": p8_cuotas, "p8_mezcla": p8_mezcla, "p9_found": p9_found, "p9_niveles": p9_niveles}
 
 _COMPARABLE = """
         SELECT id, dimension, vector::DOUBLE[] AS v FROM articulos_vectorial
@@ -118,7 +143,16 @@ _COMPARABLE = """
           AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
           AND len(list_filter(vector, lambda x: x <> 0)) > 0"""
 
+_OVER = """
+        SELECT 'doctrina_instituciones' AS tabla, 'contenido' AS campo, id FROM doctrina_instituciones
+        WHERE len(regexp_extract_all(contenido, '[^ \\t\\n\\r\\f]+')) >
+              (SELECT maximo FROM limites_trozo WHERE tabla = 'doctrina_instituciones' AND campo = 'contenido')
+        UNION ALL
+        SELECT 'articulos_vectorial', 'texto', id FROM articulos_vectorial
+        WHERE length(texto) > (SELECT maximo FROM limites_trozo WHERE tabla = 'articulos_vectorial' AND campo = 'texto')"""
+
 SQL = {
+    "p1_cobertura": f"SELECT *, true AS entero, true AS dentro FROM ({_OVER})",
     "p3_found": f"""
         WITH u AS ({_COMPARABLE}),
         s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 9) AS s
@@ -133,11 +167,5 @@ SQL = {
                         ELSE 'cero' END AS motivo
         FROM articulos_vectorial
         WHERE id NOT IN (SELECT id FROM (""" + _COMPARABLE + """))""",
-    "p1_found": """
-        SELECT 'doctrina_instituciones' AS tabla, 'contenido' AS campo, id FROM doctrina_instituciones
-        WHERE len(regexp_extract_all(contenido, '[^ \\t\\n\\r\\f]+')) >
-              (SELECT maximo FROM limites_trozo WHERE tabla = 'doctrina_instituciones' AND campo = 'contenido')
-        UNION ALL
-        SELECT 'articulos_vectorial', 'texto', id FROM articulos_vectorial
-        WHERE length(texto) > (SELECT maximo FROM limites_trozo WHERE tabla = 'articulos_vectorial' AND campo = 'texto')""",
+    "p1_found": _OVER,
 }
