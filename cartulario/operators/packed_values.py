@@ -70,10 +70,14 @@ def packed_values(field: Column) -> Column:
         )
         # The first part goes on with the value that is open, each other part begins one.
         parts = F.when(outside & ~piece.isin(*QUOTES), cut(piece)).otherwise(F.array(piece))
-        open_ = F.concat(state["open"], F.element_at(parts, 1))
-        whole = F.size(parts) == 1
-        done = F.when(whole, state["done"]).otherwise(F.concat(state["done"], F.array(open_), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
-        return F.struct(done.alias("done"), F.when(whole, open_).otherwise(F.element_at(parts, -1)).alias("open"), closer.alias("closer"))
+
+        def taken(found: Column) -> Column:
+            open_, whole = F.concat(state["open"], F.element_at(found, 1)), F.size(found) == 1
+            done = F.when(whole, state["done"]).otherwise(F.concat(state["done"], F.array(open_), F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0)))))
+            return F.struct(done.alias("done"), F.when(whole, open_).otherwise(F.element_at(found, -1)).alias("open"), closer.alias("closer"))
+
+        # Through a lambda, so that a piece is cut once.
+        return F.transform(F.array(parts), taken)[0]
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("closer"))
     quoted = F.aggregate(pieces, start, step, lambda s: F.when(s["closer"] == "", F.concat(s["done"], F.array(s["open"]))))
