@@ -294,7 +294,7 @@ def entries_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOGUE.query(
     f"""WITH h AS (SELECT id FROM sentencias_judiciales WHERE contains({fold_sql("sala")}, 'no hay tal sala')), c AS (SELECT count(*) AS n FROM h)
-        SELECT CAST(NULL AS BIGINT) AS id, 'disponibles: ' || (SELECT string_agg(DISTINCT {fold_sql("trim(sala, ' ')")}, ', ' ORDER BY {fold_sql("trim(sala, ' ')")}) FROM sentencias_judiciales WHERE trim(sala, ' ') <> '') AS aviso FROM c WHERE n = 0
+        SELECT CAST(NULL AS BIGINT) AS id, 'disponibles: ' || (SELECT string_agg(DISTINCT {fold_sql("trim(sala, ' ')")}, ', ' ORDER BY {fold_sql("trim(sala, ' ')")}) FROM sentencias_judiciales WHERE trim(sala, ' ') <> '') AS aviso FROM c WHERE n = 0 AND EXISTS (SELECT 1 FROM sentencias_judiciales WHERE trim(sala, ' ') <> '')
         UNION ALL SELECT id, NULL FROM h"""
 )
 def filter_with_hint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,4 +157,49 @@ def faceted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(kept, "doc_id").orderBy(F.desc("largo"), F.desc(F.round("puntaje", 9)), "doc_id").limit(40).select("doc_id", "largo", F.round("puntaje", 6).alias("puntaje"))
 
 
+@CATALOGUE.query(
+    """WITH a AS (SELECT id AS alias, regexp_replace(id, ':[^:]*$', '') AS destino FROM referencia WHERE id LIKE '%:%:%') SELECT r.n, coalesce(a.destino, r.id) AS id FROM referencia r LEFT JOIN a ON a.alias = r.id"""
+)
+def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of the dictionary with parts of norms replaced by the whole, by a table of aliases."""
+    from cartulario.functions.ids import parent_id
+    from cartulario.operators.relational import alias_resolved
+
+    r = table(spark, sf_dir, "referencia").select("n", "id")
+    aliases = r.select(F.col("id").alias("alias"), parent_id(F.col("id")).alias("destino")).filter("destino IS NOT NULL").distinct()
+    return alias_resolved(r, "id", aliases, "alias", "destino").select("n", "id")
+
+
+@CATALOGUE.query(
+    """SELECT c_custkey, (floor(abs(c_acctbal)) + 0.5)::DOUBLE * sign(c_acctbal) AS monto FROM customer WHERE abs(c_acctbal) >= 1"""
+)
+def written_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances written with dots and a comma, read again as numbers."""
+    from cartulario.functions.ids import spanish_number
+
+    whole = F.floor(F.abs("c_acctbal")).cast("string")
+    text = F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise(""), F.regexp_replace(whole, r"(\d)(?=(?:\d{3})+$)", "$1."), F.lit(",5"))
+    return table(spark, sf_dir, "customer").filter("abs(c_acctbal) >= 1").select("c_custkey", spanish_number(text).alias("monto"))
+
+
+@CATALOGUE.query("SELECT s_suppkey, concat_ws(' ', s_suppkey, s_name, s_nationkey) AS texto FROM supplier")
+def flattened_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of suppliers but one as a text."""
+    from cartulario.functions.records import flattened
+
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    return s.select("s_suppkey", flattened(s, ("s_acctbal",)).alias("texto"))
+
+
+@CATALOGUE.query(
+    """SELECT id, numero, count(*) AS veces FROM (SELECT id, unnest(regexp_extract_all(texto, '(?im)^art(?:[íi]culo|\\.)\\s+(\\d+)', 1)) AS numero FROM articulos_vectorial) GROUP BY 1, 2"""
+)
+def article_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of laws cut at their article headings."""
+    from cartulario.functions.segments import articles
+
+    a = articles(table(spark, sf_dir, "articulos_vectorial"), "id", "texto")
+    return a.groupBy("id", "numero").agg(F.count(F.lit(1)).alias("veces"))
+
+
 QUERIES, SQL = CATALOGUE.queries, CATALOGUE.sql
