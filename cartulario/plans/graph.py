@@ -220,7 +220,11 @@ def layer_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.overlay(base, e.filter("rel <> 'normas'"), known)
 
 
-@CATALOGUE.query()
+@CATALOGUE.query(
+    _label_sql(4).replace(" SELECT nodo, c AS comunidad FROM g4", "")
+    + """, y AS (SELECT u.peso, p.c AS x, q.c AS z FROM u JOIN g4 p ON p.nodo = u.a JOIN g4 q ON q.nodo = u.b), t AS (SELECT sum(peso)::DOUBLE AS m2, sum(peso) FILTER (x = z)::DOUBLE AS d FROM y),
+        k AS (SELECT sum(w * w) AS k2 FROM (SELECT sum(peso)::DOUBLE AS w FROM y GROUP BY x)) SELECT round(d / m2 - k2 / (m2 * m2), 9) AS modularidad FROM t, k"""
+)
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the communities part the graph."""
     e = citation_edges(spark, sf_dir)

@@ -13,6 +13,7 @@ from cartulario.operators.heavy_keys import folded
 from cartulario.operators.packed_values import unpack
 from cartulario.plans.base import Catalogue
 from cartulario.plans.graph import _EDGES, citation_edges
+from cartulario.plans.records import PARAGRAPHS_SQL
 from cartulario.plans.scalar import fold_sql
 from cartulario.session import table
 
@@ -87,7 +88,12 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.passages(table(spark, sf_dir, "documents"), "doc_id", "text", ["notificación", "costas"], 120)
 
 
-@CATALOGUE.query()
+@CATALOGUE.query(
+    f"""WITH {PARAGRAPHS_SQL}, f AS (SELECT id, orden, {fold_sql("parrafo")} AS t FROM pp),
+        s AS (SELECT id, orden, (CAST(contains(t, 'nulidad') AS INT) + CAST(contains(t, 'contrato') AS INT)) * 15 + CAST(contains(t, 'nulidad del contrato') AS INT) * 60 + CAST(regexp_matches(t, 'resuelve|declara|confirmado') AS INT) * 20
+                     + CAST(regexp_matches(t, '\\bart(?:iculo|\\.)\\s*\\d+') AS INT) * 15 AS puntaje FROM f)
+        SELECT id, orden, puntaje FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY puntaje DESC, orden) = 1"""
+)
 def ranked_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraph of each document that says most about nullity."""
     p = paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")

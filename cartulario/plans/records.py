@@ -84,7 +84,13 @@ def seg_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.sections(table(spark, sf_dir, "doctrina_instituciones"), "id", "contenido")
 
 
-@CATALOGUE.query()
+#: Parts between blank lines, or lines if there is but one part, numbered, without list marks and numbers at their start.
+PARAGRAPHS_SQL = r"""pa AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\r?\n[ \t]*\r?\n'), lambda p: regexp_matches(p, '\S')) AS b, list_filter(regexp_split_to_array(text, '\r?\n'), lambda p: regexp_matches(p, '\S')) AS l FROM documents),
+       pb AS (SELECT id, CASE WHEN len(b) > 1 THEN b ELSE l END AS p FROM pa), pc AS (SELECT id, unnest(p) AS p, CAST(generate_subscripts(p, 1) AS INTEGER) AS orden FROM pb),
+       pp AS (SELECT id, orden, regexp_replace(regexp_replace(p, '^\s*(?:[-*•]|\d+[.)°]|[a-z]\))\s+', ''), '^\s+|\s+$', '', 'g') AS parrafo FROM pc)"""
+
+
+@CATALOGUE.query(f"WITH {PARAGRAPHS_SQL} SELECT * FROM pp")
 def seg_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of the documents."""
     return segments.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
