@@ -146,25 +146,39 @@ def cooccurrence(df: DataFrame, key: str, member: str, most: int) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, key: str, member: str, least: float) -> DataFrame:
-    """Pairs of keys (a < b) whose member sets have a Jaccard similarity of at least ``least``: a, b, comunes, jaccard.
+    """Pairs of keys (a < b) whose member sets have a Jaccard similarity of at least ``least`` (above 0): a, b, comunes, jaccard.
 
-    Exact, by prefix filtering: members are ordered from rare to frequent, and two sets that
-    are alike must share one of their first n - ceil(least * n) + 1 members, so only those
-    are joined, and only sets of fitting size. Frequent members are hardly ever in a prefix.
+    Exact, by prefix filtering: members are in one order, those of a thousandth of all rows
+    and more last. Sets that share p members or more have their first two common ones among
+    their first n - p + 2, so they meet under pairs of members there, of which there are far
+    more than members; only where one shared member may do, under single ones. The set goes
+    along, so a pair is scored where it meets, once: under its first common members.
     """
-    base = df.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("k IS NOT NULL AND m IS NOT NULL").distinct()
-    seen = base.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
-    sets = base.join(seen, "m").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda x: x["m"]).alias("s"))
-    sets = sets.withColumn("n", F.size("s"))
-    prefix = F.col("n") - F.ceil(F.col("n") * least - F.lit(1e-9)).cast("int") + 1
-    probe = sets.select("k", "n", F.explode(F.slice("s", F.lit(1), prefix)).alias("m"))
-    l = probe.select(F.col("k").alias("a"), F.col("n").alias("na"), "m")
-    r = probe.select(F.col("k").alias("b"), F.col("n").alias("nb"), "m")
-    fits = (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
-    found = l.join(r, "m").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    sa, sb = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    both = found.join(sa, "a").join(sb, "b").withColumn("comunes", F.size(F.array_intersect("sa", "sb")))
-    scored = both.withColumn("jaccard", F.col("comunes") / (F.size("sa") + F.size("sb") - F.col("comunes")))
+    lines = df.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("k IS NOT NULL AND m IS NOT NULL")
+    seen = lines.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
+    heavy = seen.crossJoin(F.broadcast(seen.agg(F.sum("f").alias("t")))).filter("f * 1000 >= t").select("m", "f")
+    sets = lines.join(F.broadcast(heavy), "m", "left").groupBy("k").agg(F.collect_set(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "m")).alias("s"))
+    sets = sets.select("k", F.transform(F.array_sort("s"), lambda x: x["m"]).alias("s"))
+    fewest = lambda n: F.ceil(n * least - F.lit(1e-9))
+    n = F.size("s")
+    front = n - fewest(n).cast("int")
+    # Sets of up to so many members may be alike with one shared member, and with sets of up to ``met``.
+    met = int(int((1 + 1e-9) / least) / least + 1e-6)
+    alone = F.when(n <= met, F.transform(F.slice("s", 1, front + 1), lambda x: F.struct(x.alias("x"), x.alias("y"))))
+    start = F.slice("s", 1, front + 2)
+    paired = F.flatten(F.transform(start, lambda x, at: F.transform(F.slice(start, at + 2, n), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    none = F.slice(F.transform("s", lambda x: F.struct(x.alias("x"), x.alias("y"))), 1, 0)
+    met_under = F.concat(F.coalesce(alone, none), F.when(fewest(n) >= 2, paired).otherwise(none))
+    probe = sets.select("k", "s", F.inline(met_under))
+    l = probe.select(F.col("k").alias("a"), F.col("s").alias("sa"), "x", "y")
+    r = probe.select(F.col("k").alias("b"), F.col("s").alias("sb"), "x", "y")
+    na, nb = F.size("sa"), F.size("sb")
+    fits = (F.col("a") < F.col("b")) & (na >= nb * least - 1e-9) & (nb >= na * least - 1e-9)
+    same = F.array_intersect("sa", "sb")
+    one = (fewest(na) < 2) | (fewest(nb) < 2)
+    first = F.when(one, (F.col("x") == F.col("y")) & (F.get(same, F.lit(0)) == F.col("x"))).otherwise((F.get(same, F.lit(0)) == F.col("x")) & (F.get(same, F.lit(1)) == F.col("y")))
+    scored = l.join(r, ["x", "y"]).filter(fits).filter(first).select("a", "b", F.size(same).alias("comunes"), (na + nb).alias("__n"))
+    scored = scored.withColumn("jaccard", F.col("comunes") / (F.col("__n") - F.col("comunes")))
     return scored.filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "comunes", "jaccard")
 
 
