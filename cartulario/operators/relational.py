@@ -157,7 +157,7 @@ def jaccard_pairs(df: DataFrame, key: str, member: str, least: float) -> DataFra
     lines = df.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("k IS NOT NULL AND m IS NOT NULL")
     seen = lines.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
     heavy = seen.crossJoin(F.broadcast(seen.agg(F.sum("f").alias("t")))).filter("f * 1000 >= t").select("m", "f")
-    sets = lines.join(F.broadcast(heavy), "m", "left").groupBy("k").agg(F.collect_set(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "m")).alias("s"))
+    sets = lines.join(F.broadcast(heavy), "m", "left").repartition("k").groupBy("k").agg(F.collect_set(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "m")).alias("s"))
     sets = sets.select("k", F.transform(F.array_sort("s"), lambda x: x["m"]).alias("s"))
     fewest = lambda n: F.ceil(n * least - F.lit(1e-9))
     n = F.size("s")
