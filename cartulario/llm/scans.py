@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections import ChainMap, Counter
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulario.session import materialize, spread
 
-#: Sizes of the model: its most frequent words and short lines, counted over all texts.
+#: The most frequent words and running lines, so many of them, go to every worker; what texts hold of further ones is joined to them.
 LEXICON = 200_000
 KNOWN_LINES = 50_000
 
+#: Characters of the texts that ask for further words and lines together.
+PACK = 1 << 22
+
 #: Rounds of training, each over all texts.
 ROUNDS = 4
 
@@ -312,7 +316,7 @@ def viterbi(texts: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit:
     return out
 
 
-def is_cut(left: str, sign: str, right: str, words: dict[str, int]) -> bool:
+def is_cut(left: str, sign: str, right: str, words: Mapping[str, int]) -> bool:
     """Whether a sign between two line ends parts one word, rather than joining two or closing a remark."""
     a, b = left.lower(), right.lower()
     if not right[0].islower():
@@ -322,25 +326,58 @@ def is_cut(left: str, sign: str, right: str, words: dict[str, int]) -> bool:
     return not (words.get(a, 0) >= LINE_TEXTS and words.get(b, 0) >= LINE_TEXTS)
 
 
-def corrected(word: str, words: dict[str, int]) -> str | None:
-    """The word that was misread, or None if the word stands as it is."""
+def at_cuts(lines: list[str], labels: list[int]) -> set[str]:
+    """The words on whose counts the cuts of a text hang, whichever of the cuts before part one word."""
+    out: set[str] = set()
+    ends: set[str] = set()
+    sign = ""
+    for line, label in zip(lines, labels):
+        s = line.strip()
+        if not s or label in (HEADER, FOLIO):
+            continue
+        n = _WORD.match(s)
+        if ends and n and n[0][0].islower() and sign not in SURE_SIGNS:
+            b = n[0].lower()
+            out |= {b} | {x for a in ends for x in (a.lower(), a.lower() + b)}
+        m = _LAST_WORD.search(s[:-1][-200:]) if s[-1] in CUT_SIGNS else None
+        # A line of one word may go on with the one before.
+        ends = ({m[0]} | ({(a + s[:-1])[-200:] for a in ends} if n and n[0] == s[:-1] else set())) if m else set()
+        sign = s[-1]
+    return out
+
+
+#: A word counts as what was meant, one and two confusions away, if it is more frequent than this.
+MEANT = (2, 20)
+
+
+def may_be_misread(low: str) -> bool:
+    return len(low) >= 4 and not low.isdigit() and any(c.isalpha() for c in low)
+
+
+def cased(right: str | None, word: str) -> str | None:
+    return right and (right.upper() if word.isupper() else right.capitalize() if word[0].isupper() else right)
+
+
+def corrected(word: str, words: Mapping[str, int]) -> str | None:
+    """The word that was misread, or None if the word stands as it is. Of equally frequent ones the first in order."""
     low = word.lower()
     own = words.get(low, 0)
-    if len(low) < 4 or low.isdigit() or not any(c.isalpha() for c in low):
+    if not may_be_misread(low):
         return None
-    best, much = None, max(2, RATIO * own)
+    best, much = None, max(MEANT[0], RATIO * own)
     once = set(_unread(low))
     for v in once:
-        if words.get(v, 0) > much:
-            best, much = v, words[v]
+        n = words.get(v, 0)
+        if n > much or best is not None and n == much and v < best:
+            best, much = v, n
     if best is None and len(low) >= 6 and own <= 2:
+        much = max(much, MEANT[1])
         for u in once:
             for v in _unread(u):
-                if words.get(v, 0) > max(much, 20):
-                    best, much = v, words[v]
-    if best is None:
-        return None
-    return best.upper() if word.isupper() else best.capitalize() if word[0].isupper() else best
+                n = words.get(v, 0)
+                if n > much or best is not None and n == much and v < best:
+                    best, much = v, n
+    return cased(best, word)
 
 
 def _unread(word: str) -> Iterator[str]:
@@ -358,13 +395,30 @@ class Repaired:
 
 
 class Repairer:
-    """Applies a model to texts, one at a time."""
+    """Applies a model to texts, one at a time.
+
+    ``counts`` and ``rights``, if given, tell of words that the model leaves out how frequent
+    they are and which were misread. The readings of words in the model never hang on others:
+    these are no more frequent than any in it.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.known: dict[str, str | None] = {}
+        self.words: Mapping[str, int] = model.words
+        self.rights: Mapping[str, str] | None = None
+        self.asked: set[str] | None = None
+
+    def told(self, counts: dict[str, int], rights: dict[str, str]) -> None:
+        self.words, self.rights = ChainMap(counts, self.model.words), rights
 
     def correct(self, token: str) -> str | None:
+        if self.rights is not None and (low := token.lower()) not in self.model.words:
+            if self.asked is not None and may_be_misread(low):
+                self.asked.add(low)
+            return cased(self.rights.get(low), token)
+        if self.asked is not None:
+            return None
         if token not in self.known:
             if len(self.known) > 500_000:
                 self.known.clear()
@@ -421,7 +475,7 @@ class Repairer:
             m = _LAST_WORD.search(current[max(0, end - 200) : end]) if end > 0 and current[end] in CUT_SIGNS and not _ASIDE.search(current[-200:]) else None
             n = _WORD.match(s)
             page = removed and current and (current[-1].isalnum() or current[-1] in "," + CUT_SIGNS) and s[0].islower()
-            if current and m and n and (not broken or page) and is_cut(m[0], current[end], n[0], self.model.words):
+            if current and m and n and (not broken or page) and is_cut(m[0], current[end], n[0], self.words):
                 kinds.add("guion")
                 current = current[:end] + s
             elif not current:
@@ -464,37 +518,36 @@ def counted_keys(texts: list[str | None]) -> Counter:
     return out
 
 
-def fit_model(df: DataFrame, record: str, fields: list[str], work: list[str]) -> Model:
-    """Counts over all texts, then training by hard expectation and maximisation, each round over all texts of several lines.
+def counted_model(df: DataFrame, fields: list[str]) -> tuple[Model, DataFrame | None, DataFrame | None]:
+    """A model with the counts over all texts; all words (key, n) and all running lines (key), each only if the model leaves some out.
 
     The counts are added up in map tasks first; only the most frequent words and lines,
-    bounded in number, go to the driver and into the model. For training a line is one byte,
-    kept in the shared folder; a round sends one row of tallies from each task.
+    bounded in number, go to the driver and into the model.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             c = counted_keys([t for f in fields for t in frame[f].tolist()])
-            yield pd.DataFrame({"kind": [k for k, _ in c], "key": [v for _, v in c], "n": list(c.values())})
+            yield pd.DataFrame([(k, v, n) for (k, v), n in c.items()], columns=["kind", "key", "n"])
 
     counted = spread(df.select(*fields)).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     totals = materialize(counted)
-    words = totals.filter("kind = 'w'").orderBy(F.desc("n"), "key").limit(LEXICON).select("key", "n").toPandas()
+    words = totals.filter("kind = 'w'").select("key", "n")
+    first = words.orderBy(F.desc("n"), "key").limit(LEXICON + 1).toPandas()
     short = totals.filter("kind <> 'w'").groupBy("key").agg(
         F.sum(F.when(F.col("kind") == "l", F.col("n")).otherwise(0)).alias("all"), F.sum(F.when(F.col("kind") == "i", F.col("n")).otherwise(0)).alias("cuts")
     )
     running = short.filter((F.col("all") >= LINE_TEXTS) & (F.col("cuts") >= 2) & (F.col("cuts") >= 0.25 * F.col("all")))
-    lines = running.orderBy(F.desc("cuts"), "key").limit(KNOWN_LINES).select("key").toPandas()
-    model = Model(dict(zip(words["key"], words["n"])), set(lines["key"]))
+    lines = running.orderBy(F.desc("cuts"), "key").limit(KNOWN_LINES + 1).select("key").toPandas()
+    model = Model(dict(zip(first["key"][:LEXICON].tolist(), first["n"][:LEXICON].tolist())), set(lines["key"][:KNOWN_LINES]))
+    return model, words if len(first) > LEXICON else None, running.select("key") if len(lines) > KNOWN_LINES else None
 
-    sent = df.sparkSession.sparkContext.broadcast(model.keys)
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lines = [(lines_of(t), w) for f in fields for t, w in zip(frame[f].tolist(), frame["__work"].tolist()) if t]
-            yield pd.DataFrame({"rasgos": [codes(features(x, w, sent.value)).tobytes() for x, w in lines if len(x) > 3]})
+def train(model: Model, texts: DataFrame) -> None:
+    """Training by hard expectation and maximisation, each round over all texts (``rasgos``, a byte for a line) of several lines.
 
-    texts = materialize(spread(df.select(*fields, F.concat_ws(" ", *work).alias("__work"))).mapInPandas(read, "rasgos binary"))
+    A round sends one row of tallies from each task.
+    """
     for turn in range(ROUNDS):
         now = None if turn == 0 else (model.start, model.move, model.emit)
 
@@ -511,7 +564,201 @@ def fit_model(df: DataFrame, record: str, fields: list[str], work: list[str]) ->
         counts = np.zeros(len(tallies([], [])))
         counts[found["i"].to_numpy()] = found["n"].to_numpy()
         model.start, model.move, model.emit = estimated(counts)
-    return model
+
+
+def fit_model(df: DataFrame, fields: list[str], work: list[str], model: Model) -> None:
+    """Trains a model that leaves no line out. The lines of a text are kept in the shared folder."""
+    sent = df.sparkSession.sparkContext.broadcast(model.keys)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lines = [(lines_of(t), w) for f in fields for t, w in zip(frame[f].tolist(), frame["__work"].tolist()) if t]
+            yield pd.DataFrame([(codes(features(x, w, sent.value)).tobytes(),) for x, w in lines if len(x) > 3], columns=["rasgos"])
+
+    train(model, materialize(spread(df.select(*fields, F.concat_ws(" ", *work).alias("__work"))).mapInPandas(read, "rasgos binary")))
+
+
+@dataclass
+class Told:
+    """What a pack of texts asked for beyond the model: which of its lines are running ones, counts of words, misread words and what they mean."""
+
+    lines: set[str] = field(default_factory=set)
+    counts: dict[str, int] = field(default_factory=dict)
+    rights: dict[str, str] = field(default_factory=dict)
+
+
+Work = Callable[[pd.DataFrame, Told], pd.DataFrame]
+
+
+def met(rows: DataFrame, answers: DataFrame, parts: int, begin: Callable[[], Work], schema: str) -> DataFrame:
+    """The work that ``begin`` gives, once a task, over the rows of each pack with its answers (pack, kind, key, n, meant).
+
+    In each partition the answers to a pack come before its rows, which stream; only the answers are held.
+    """
+    asked = rows.withColumns({"turn": F.lit(1), "kind": F.lit(""), "key": F.lit(""), "n": F.lit(0).cast("long"), "meant": F.lit("")})
+    both = asked.unionByName(answers.withColumn("turn", F.lit(0)), allowMissingColumns=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        work, pack, told = begin(), None, Told()
+        for frame in frames:
+            for now, part in frame.groupby("pack", sort=False):
+                if now != pack:
+                    pack, told = now, Told()
+                first = part[part["turn"] == 0]
+                for kind, key, n, meant in zip(first["kind"].tolist(), first["key"].tolist(), first["n"].tolist(), first["meant"].tolist()):
+                    if kind == "l":
+                        told.lines.add(key)
+                    elif kind == "w":
+                        told.counts[key] = n
+                    else:
+                        told.rights[key] = meant
+                rest = part[part["turn"] == 1]
+                if len(rest):
+                    yield work(rest, told)
+
+    return both.repartition(parts, "pack").sortWithinPartitions("pack", "turn").mapInPandas(run, schema)
+
+
+def alone(rows: DataFrame, begin: Callable[[], Work], schema: str) -> DataFrame:
+    """The same where nothing was asked."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        work = begin()
+        for frame in frames:
+            yield work(frame, Told())
+
+    return rows.mapInPandas(run, schema)
+
+
+def answered(asked: DataFrame, kind: str, table: DataFrame) -> DataFrame:
+    """Answers to what packs asked, kept in the shared folder; what the table (key, n or meant, if it has them) lacks gets none."""
+    columns = {"kind": F.lit(kind)} | {c: F.lit(empty) for c, empty in (("n", 0), ("meant", "")) if c not in table.columns}
+    found = asked.distinct().join(table, "key").withColumns(columns)
+    return materialize(found.select("pack", "kind", "key", F.col("n").cast("long").alias("n"), "meant"))
+
+
+def meanings(misread: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """What each misread word (``key``) means (``meant``), as ``corrected`` has it, from all words; the others have no row."""
+    sent = misread.sparkSession.sparkContext.broadcast(model.words)
+    # Words that the model leaves out are no more frequent than this.
+    rest = min(model.words.values(), default=np.inf)
+
+    def forms(word: str) -> Iterator[tuple[str, str, int]]:
+        yield word, word, 0
+        once = set(_unread(word))
+        yield from ((word, v, 1) for v in once if rest > MEANT[0] or v in sent.value)
+        if len(word) >= 6:
+            twice = {v for u in once for v in _unread(u) if rest > MEANT[1] or v in sent.value}
+            yield from ((word, v, 2) for v in twice - once - {word})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["word", "key", "away"]
+        for frame in frames:
+            rows = []
+            for word in frame["key"].tolist():
+                rows += forms(word)
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    def most(away: int) -> Column:
+        return F.min(F.when(F.col("away") == away, F.struct((-F.col("n")).alias("less"), "key")))
+
+    found = misread.distinct().mapInPandas(run, "word string, key string, away int").join(words, "key")
+    best = found.groupBy("word").agg(F.coalesce(F.max(F.when(F.col("away") == 0, F.col("n"))), F.lit(0)).alias("own"), most(1).alias("one"), most(2).alias("two"))
+    much = F.greatest(F.lit(MEANT[0]), RATIO * F.col("own"))
+    meant = F.when(-F.col("one.less") > much, F.col("one.key")).when(
+        (F.length("word") >= 6) & (F.col("own") <= 2) & (-F.col("two.less") > F.greatest(much, F.lit(MEANT[1]))), F.col("two.key")
+    )
+    return best.select(F.col("word").alias("key"), meant.alias("meant")).filter("meant is not null")
+
+
+def repaired_by_packs(slim: DataFrame, fields: list[str], model: Model, words: DataFrame | None, lines: DataFrame | None) -> DataFrame:
+    """As ``repair_scans`` where the model leaves words or lines out: packs of texts ask for what they hold of these.
+
+    Questions and answers are joined by word or line, then meet the texts by pack: first the
+    running lines, then the words at cuts, then those that may be misread. Texts are kept
+    packed in the shared folder, a line's features in a byte beside them.
+    """
+    context = slim.sparkSession.sparkContext
+    wide = context.defaultParallelism
+    places = {f"__text{j}": f for j, f in enumerate(fields)}
+    rows = slim.select("__id", "__work", *[F.col(f).alias(p) for p, f in places.items()])
+    size = rows.agg(sum((F.coalesce(F.sum(F.length(p).cast("long")), F.lit(0)) for p in places), F.lit(0)).alias("n")).first()["n"]
+    packs = max(16 * wide, size // PACK)
+    parts = max(2 * wide, packs // 8)
+    rows = spread(rows).withColumn("pack", F.pmod(F.xxhash64("__id", "__work", *places), F.lit(packs)))
+    keys, all_words = context.broadcast(model.keys), words is None
+
+    def ask_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            # Whatever a text's width is, it makes no other keys than these.
+            asked = {(n, k) for p in places for n, t in zip(frame["pack"].tolist(), frame[p].tolist()) if t for x in lines_of(t) if (k := running_key(x, 1000))}
+            yield pd.DataFrame([(n, k) for n, k in asked if k not in keys.value], columns=["pack", "key"])
+
+    def code() -> Work:
+        def work(frame: pd.DataFrame, told: Told) -> pd.DataFrame:
+            known, out = keys.value | told.lines, []
+            for p, f in places.items():
+                for n, i, w, t in zip(frame["pack"].tolist(), frame["__id"].tolist(), frame["__work"].tolist(), frame[p].tolist()):
+                    if t is not None:
+                        out.append((n, i, f, zlib.compress(t.encode()), codes(features(lines_of(t), w, known)).tobytes()))
+            return pd.DataFrame(out, columns=["pack", "id", "campo", "texto", "rasgos"])
+
+        return work
+
+    schema = "pack long, id string, campo string, texto binary, rasgos binary"
+    if lines is None:
+        coded = materialize(alone(rows, code, schema))
+    else:
+        coded = materialize(met(rows, answered(rows.mapInPandas(ask_lines, "pack long, key string"), "l", lines), parts, code, schema))
+    train(model, coded.filter("octet_length(rasgos) > 3").select("rasgos"))
+    sent = context.broadcast(model)
+
+    def labelled(frame: pd.DataFrame) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
+        rasgos = [np.frombuffer(r, np.uint8) for r in frame["rasgos"]]
+        labels = viterbi(rasgos, sent.value.start, sent.value.move, sent.value.emit)
+        for packed, r, y in zip(frame["texto"].tolist(), rasgos, labels):
+            text = zlib.decompress(packed).decode()
+            yield text, lines_of(text), FEATURES[r], y
+
+    def ask_cuts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            asked = {(n, w) for n, (_, x, _, y) in zip(frame["pack"].tolist(), labelled(frame)) for w in at_cuts(x, y.tolist())}
+            yield pd.DataFrame([(n, w) for n, w in asked if w not in sent.value.words], columns=["pack", "key"])
+
+    def ask_misread() -> Work:
+        repairer = Repairer(sent.value)
+
+        def work(frame: pd.DataFrame, told: Told) -> pd.DataFrame:
+            repairer.told(told.counts, {})
+            repairer.asked = set()
+            for x in labelled(frame):
+                repairer._labelled(*x)
+            pack = int(frame["pack"].iloc[0])
+            return pd.DataFrame([(pack, w) for w in repairer.asked], columns=["pack", "key"])
+
+        return work
+
+    def repair() -> Work:
+        repairer = Repairer(sent.value)
+
+        def work(frame: pd.DataFrame, told: Told) -> pd.DataFrame:
+            if not all_words:
+                repairer.told(told.counts, told.rights)
+            got = [repairer._labelled(*x) for x in labelled(frame)]
+            return pd.DataFrame({"id": frame["id"].tolist(), "campo": frame["campo"].tolist(), "tipos": [sorted(r.kinds) for r in got], "texto": [r.text for r in got]})
+
+        return work
+
+    schema = "id string, campo string, tipos array<string>, texto string"
+    if words is None:
+        return alone(coded, repair, schema)
+    counts = answered(coded.mapInPandas(ask_cuts, "pack long, key string"), "w", words)
+    asked = materialize(met(coded, counts, parts, ask_misread, "pack long, key string").distinct())
+    rights = answered(asked, "r", meanings(asked.select("key"), words, model))
+    return met(coded, counts.union(rights), parts, repair, schema)
 
 
 def repair_scans(df: DataFrame, record: str, fields: list[str], work: list[str]) -> DataFrame:
@@ -523,10 +770,17 @@ def repair_scans(df: DataFrame, record: str, fields: list[str], work: list[str])
     frequent word, and lines become paragraphs. ``tipos`` lists the kinds of noise found,
     sorted; texts without any that are not hard-wrapped stay as they are. ``work`` names
     columns whose words (work, author) headers repeat. Null texts give no row, empty ones
-    come out empty; repeated rows repeat; an empty table gives no rows.
+    come out empty; repeated rows repeat; an empty table gives no rows. Every word and
+    running line counts, also where there are more than go to every worker.
     """
-    model = df.sparkSession.sparkContext.broadcast(fit_model(df, record, fields, work))
+    counts, words, lines = counted_model(df, fields)
     kind = df.schema[record].dataType.simpleString()
+    # Ids travel as text, so that a null one does not turn the others into floating point.
+    slim = df.select(F.col(record).cast("string").alias("__id"), F.concat_ws(" ", *work).alias("__work"), *fields)
+    if words is not None or lines is not None:
+        return repaired_by_packs(slim, fields, counts, words, lines).withColumn("id", F.col("id").cast(kind))
+    fit_model(df, fields, work, counts)
+    model = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repairer = Repairer(model.value)
@@ -538,7 +792,5 @@ def repair_scans(df: DataFrame, record: str, fields: list[str], work: list[str])
                 rows += [(i, name, sorted(r.kinds), r.text) for i, r in zip(frame["__id"].tolist(), got) if r is not None]
             yield pd.DataFrame(rows, columns=["id", "campo", "tipos", "texto"])
 
-    # Ids travel as text, so that a null one does not turn the others into floating point.
-    slim = df.select(F.col(record).cast("string").alias("__id"), F.concat_ws(" ", *work).alias("__work"), *fields)
     out = spread(slim).mapInPandas(run, "id string, campo string, tipos array<string>, texto string")
     return out.withColumn("id", F.col("id").cast(kind))

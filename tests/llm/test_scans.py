@@ -131,3 +131,65 @@ def test_many_texts_are_labelled_as_one_by_one():
     counts = scans.tallies(texts, got)
     assert counts[:k].sum() == sum(len(t) > 0 for t in texts) and counts[k : k + k * k].sum() == sum(max(len(t) - 1, 0) for t in texts) and counts[k + k * k :].sum() == sum(map(len, texts))
     assert (counts[k + k * k :].reshape(k, n).sum(0) == np.bincount(np.concatenate(texts), minlength=n)).all()
+
+
+def told_apart(spark, monkeypatch, words, lines, rows):
+    """Repaired texts with at most so many words and running lines in the model."""
+    from cartulario.llm import scans
+
+    monkeypatch.setattr(scans, "LEXICON", words)
+    monkeypatch.setattr(scans, "KNOWN_LINES", lines)
+    monkeypatch.setattr(scans, "PACK", 20_000)
+    df = spark.createDataFrame(rows, "id long, key string, n string, obra string, autor string")
+    return sorted(repair_scans(df.repartition(3), "id", ["key", "n"], ["obra", "autor"]).collect(), key=repr)
+
+
+def test_words_and_lines_beyond_the_model_count_too(spark, monkeypatch):
+    """A model of few or no words and lines gives what one of all gives: cuts, misread words and running lines."""
+    rows, truth = corpus(120)
+    rows += [
+        (900, "El informe conforme al conforma-\ndo por la deman-\ndante ante-\nriormente conte-\nni-\ndo en el contra-\nto\nDE LA RIBERA\ny todo lo de-\nmás", "Un coritrato y CORITRATO y Tri6unal, surnas de mesa@casa.cl", "x", "y"),
+        (901, None, "", None, None),
+        (None, "Una línea con tri6unal.", "   \n\n\n\n ", None, None),
+        rows[1],
+    ]
+    whole = told_apart(spark, monkeypatch, 200_000, 50_000, rows)
+    assert len([r for r in whole if r.tipos]) > 40
+    for words, lines in ((20, 50_000), (200_000, 1), (20, 1), (0, 0)):
+        assert told_apart(spark, monkeypatch, words, lines, rows) == whole
+
+
+def test_texts_that_ask_nothing(spark, monkeypatch):
+    rows = [(1, None, None, None, None), (2, "la ley", None, None, None), (3, "", None, None, None)]
+    for words in (200_000, 1, 0):
+        got = told_apart(spark, monkeypatch, words, words, rows)
+        assert [(r.id, r.tipos, r.texto) for r in got] == [(2, [], "la ley"), (3, [], "")]
+
+
+def test_cut_words_are_asked_for():
+    """Whatever the cuts before were, the words that the cuts of a text look up are among those asked for."""
+    from collections import UserDict
+
+    from cartulario.llm import scans
+
+    class Seen(UserDict):
+        def get(self, key, default=None):
+            seen.add(key)
+            return rng.choice([0, 0, 1, 2, 3, 9])
+
+    rng = random.Random(5)
+    for _ in range(300):
+        lines = [rng.choice(["ante", "ce", "uno dos", "Tres", "x1", "", "a" * 150]) + rng.choice(["-", "-", "¬", "", "."]) for _ in range(rng.randint(1, 12))]
+        labels = [rng.choice([0, 0, 0, 1, 2, 3, 4]) for _ in lines]
+        seen = set()
+        repairer = scans.Repairer(scans.Model())
+        repairer.told({}, {})
+        repairer.words = Seen()
+        repairer._labelled("\n".join(lines), lines, scans.FEATURES[[0] * len(lines)], scans.np.array(labels))
+        assert seen <= scans.at_cuts(lines, labels)
+
+
+def test_equally_frequent_words_go_by_order():
+    for a, b in (("tato", "íato"), ("íato", "tato")):
+        assert corrected("fato", {a: 5, b: 5}) == "tato"
+    assert corrected("fato", {"tato": 5, "íato": 6}) == "íato"
